@@ -7,19 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import simhash
+from kindred.llm import mixing, quality, secrets, simhash
+from kindred.llm.store import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution divergence of every document from its language."""
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), min_words=50)
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed patterns and the randomness battery over every document."""
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.listing(F.col("base")), 256).alias("base_sha256"),
+        secrets.listing(F.concat("base", "added")).alias("spans"),
+    )
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted fair queueing of all documents: weights 5, 2, 1, 150 % of all words."""
+    docs = _table(spark, sf_dir, "documents")
+    sizes = settle(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    return mixing.mix(sizes, weights=(5, 2, 1), share=1.5, passes=2)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, linked at 4 or fewer differing bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, width=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_simhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_quality_rules,
+        op6_secret_scan,
+        op8_mix_sources,
+        op9_simhash_near_dedup,
+    )
+}
 
 SQL: dict[str, str] = {}
