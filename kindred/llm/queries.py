@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import mixing, quality, secrets, simhash
+from kindred.llm import bpe, chat, mixing, quality, secrets, simhash, urls
 from kindred.llm.store import settle
 
 
@@ -21,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and what they decode to."""
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary="byte_bpe_50k.tiktoken")
+    done = bpe.decode(ids.select("doc_id", "ids"))
+    digest = lambda c: F.sha2(c, 256)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed patterns and the randomness battery over every document."""
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,13 +56,38 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then the ratio of character language models, for every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted; every column is read back from the output."""
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat.format_chats(rows, loss_role="assistant")
+    turns, loss = chat.parse(F.col("formatted")), F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
+    return out.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_quality_rules,
+        op4_byte_bpe,
         op6_secret_scan,
+        op7_url_filter,
         op8_mix_sources,
         op9_simhash_near_dedup,
+        op10_chat_format,
     )
 }
 
