@@ -10,10 +10,13 @@ are one row a language and so have a fixed size.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.words import SPACES, let, occurrences, removed_bytes, words
+from kindred.llm.store import settle
+from kindred.llm.words import GAP, SPACES, let, words
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
@@ -33,21 +36,39 @@ def language(lang: Column) -> Column:
 
 
 def classes(text: Column) -> Column:
-    """Array of the shares of CLASSES among the bytes of ``text`` (``wide``: bytes beyond ASCII's)."""
-    without = lambda pattern: F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))
-    counts = [without("[a-z]+"), without("[A-Z]+"), without("[0-9]+"), removed_bytes(text, SPACES), removed_bytes(text, PUNCTUATION), removed_bytes(text, SYMBOLS), F.octet_length(text) - F.length(text)]
-    return let(F.array(*[c.cast("double") for c in counts]), lambda a: F.transform(F.concat(a, F.array(F.greatest(F.lit(0.0), F.octet_length(text) - F.aggregate(a, F.lit(0.0), lambda x, y: x + y)))), lambda c: c / F.greatest(F.lit(1), F.octet_length(text))))
+    """Bytes of ``text`` in each of CLASSES (``wide``: bytes beyond ASCII's), as an array of double.
+
+    Each pattern is taken out of what the ones before it left, which soon is short.
+    """
+    patterns = ["[a-z]+", GAP, "[A-Z]+", "[0-9]+", f"[{re.escape(PUNCTUATION)}]+", f"[{re.escape(SYMBOLS)}]+"]
+
+    def rest(left: Column, k: int, counts: list[Column]) -> Column:
+        if k == len(patterns):
+            wide = F.octet_length(left) - F.length(left)
+            return F.array(*[c.cast("double") for c in [*counts, wide, F.length(left)]])
+        return let(F.regexp_replace(left, patterns[k], ""), lambda less: rest(less, k + 1, [*counts, F.octet_length(left) - F.octet_length(less)]))
+
+    return rest(text, 0, [])
 
 
 def common(tokens: Column, lang: Column) -> Column:
-    """Array of the shares of the language's common words among all words, then of all other words."""
+    """How often each of the language's common words is found, then the number of other words.
+
+    Each common word becomes one letter of a short string, in which letters are counted.
+    """
+    letters = "abcdefghijklmnop"
+    mine = F.coalesce(*[F.when(lang == x, F.array(*[F.lit(w) for w in COMMON[x]])) for x in COMMON], F.array().cast("array<string>"))
 
-    def shares(spread: Column) -> Column:
-        word = lambda k: F.coalesce(*[F.when(lang == x, F.lit(f" {COMMON[x][k]} ")) for x in COMMON], F.lit(" \0 "))
-        counts = F.array(*[occurrences(spread, word(k)) for k in range(16)])
-        return let(F.transform(counts, lambda c: c / F.greatest(F.lit(1), F.size(tokens))), lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda x, y: x + y)))))
+    def tally(found: Column) -> Column:
+        counts = [F.octet_length(found) - F.octet_length(F.replace(found, F.lit(c), F.lit(""))) for c in letters]
+        return F.array(*[c.cast("double") for c in [*counts, F.size(tokens) - F.octet_length(found)]])
 
-    return let(F.concat(F.lit(" "), F.lower(F.array_join(tokens, "  ")), F.lit(" ")), shares)
+    marks = F.array(*[F.lit(c) for c in letters])
+    return let(mine, lambda m: let(F.array_join(F.transform(tokens, lambda w: F.get(marks, (F.array_position(m, w) - 1).cast("int"))), ""), tally))
+
+
+def shares(counts: Column) -> Column:
+    return let(F.greatest(F.lit(1.0), F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)), lambda n: F.transform(counts, lambda c: c / n))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -76,43 +97,59 @@ def duplicate_lines(text: Column) -> Column:
     return let(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""), lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def references(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def facts(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of ``docs`` and one struct ``f`` of counts and histograms, one pass over the texts."""
+    text = F.coalesce("text", F.lit(""))
+
+    def all_of(w: Column) -> Column:
+        fields = {
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
+            "n_dup_lines": duplicate_lines(text).cast("long"),
+            "n_repeat_words": repeated_words(w).cast("long"),
+            "lang": language(F.col("lang")),
+            "classes": classes(text),
+            "common": common(w, F.col("lang")),
+        }
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    return docs.select(*[F.col(f"`{c}`") for c in carry], let(words(text), all_of).alias("f"))
+
+
+def references(rows: DataFrame, min_words: int = 50) -> DataFrame:
     """One row (q_lang, q_classes, q_common) a language: mean histograms over all its documents."""
-    base = docs.select(language(F.col("lang")).alias("q_lang"), F.coalesce("text", F.lit("")).alias("t"))
-    base = base.withColumn("w", words(F.col("t"))).filter(F.size("w") >= min_words)
-    base = base.select("q_lang", classes(F.col("t")).alias("c"), common(F.col("w"), F.col("q_lang")).alias("m"))
+    base = rows.filter(F.col("f.n_words") >= min_words).select(F.col("f.lang").alias("q_lang"), shares(F.col("f.classes")).alias("c"), shares(F.col("f.common")).alias("m"))
     mean = lambda name, n: F.array(*[F.avg(F.col(name)[i]) for i in range(n)])
     return base.groupBy("q_lang").agg(mean("c", len(CLASSES)).alias("q_classes"), mean("m", 17).alias("q_common"))
 
 
-def judge(docs: DataFrame, min_words: int = 50, class_limit: tuple[float, float] = (0.18, 0.8), word_limit: tuple[float, float] = (0.1, 1.6)) -> DataFrame:
-    """``docs`` with one struct column ``quality`` more.
+def judge(docs: DataFrame, min_words: int = 50, class_limit: tuple[float, float] = (0.18, 0.8), word_limit: tuple[float, float] = (0.1, 1.6), carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with one struct column ``quality`` more.
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
     word_distance, base_failed, kept. A document of n words may be ``limit[0] + limit[1] / sqrt(n)``
-    from its reference. Null and empty texts have no words and fail the base rules; a document
-    whose language has no reference diverges from nothing. Rows are judged one by one, so repeated
-    rows and any extra columns pass through unchanged. Words of the text that count are code
-    points; an empty table gives an empty result.
+    from its reference. Null and empty texts have no words and fail the base rules; a language that has
+    no reference, null too, is one of its own, with no common words. Rows are judged one by one, so repeated
+    rows and extra columns pass through unchanged (one named ``quality`` is replaced). An empty table gives
+    an empty result. The texts are read once: their facts are settled before references are taken.
     """
-    refs = F.broadcast(references(docs, min_words))  # at most one row for each of LANGUAGES
-    kept = [F.col(f"d.`{c}`") for c in docs.columns]
-    rows = docs.alias("d").withColumn("q_lang", language(F.col("d.lang"))).join(refs, "q_lang", "left")
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    facts = lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        removed_bytes(text, SYMBOLS).cast("long").alias("n_symbols"),
-        duplicate_lines(text).cast("long").alias("n_dup_lines"),
-        repeated_words(w).cast("long").alias("n_repeat_words"),
-        F.coalesce(distance(classes(text), F.col("q_classes")), F.lit(0.0)).alias("class_distance"),
-        F.coalesce(distance(common(w, F.col("q_lang")), F.col("q_common")), F.lit(0.0)).alias("word_distance"),
-    )
-    rows = rows.select(*kept, let(words(text), facts).alias("f"))
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "quality"]
+    names = [f"c{i}" for i in range(len(carry))]  # so that no name of the input clashes
+    rows = settle(facts(docs, carry).toDF(*names, "f"), "facts")
+    refs = F.broadcast(references(rows, min_words))  # at most one row for each of LANGUAGES
+    rows = rows.join(refs, F.col("f.lang") == F.col("q_lang"), "left")
     f = F.col("f")
-    failed = (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-    bound = lambda limit: limit[0] + limit[1] / F.sqrt(F.greatest(f["n_words"], F.lit(1)))
-    fine = (f["class_distance"] <= bound(class_limit)) & (f["word_distance"] <= bound(word_limit))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance"]
-    quality = F.struct(*[f[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & fine).alias("kept"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("quality"))
+    fields = {n: f[n] for n in ("n_words", "word_chars")} | {
+        "n_symbols": f["classes"][CLASSES.index("symbol")].cast("long"),
+        "n_dup_lines": f["n_dup_lines"],
+        "n_repeat_words": f["n_repeat_words"],
+        "class_distance": F.coalesce(distance(shares(f["classes"]), F.col("q_classes")), F.lit(0.0)),
+        "word_distance": F.coalesce(distance(shares(f["common"]), F.col("q_common")), F.lit(0.0)),
+    }
+    rows = rows.select(*names, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("q"))
+    q = F.col("q")
+    failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    bound = lambda limit: limit[0] + limit[1] / F.sqrt(F.greatest(q["n_words"], F.lit(1)))
+    fine = (q["class_distance"] <= bound(class_limit)) & (q["word_distance"] <= bound(word_limit))
+    quality = F.struct(*[q[n].alias(n) for n in fields], failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, carry)], quality.alias("quality"))

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution divergence of every document from its language."""
-    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), min_words=50)
+    judged = quality.judge(_table(spark, sf_dir, "documents"), min_words=50, carry=["doc_id"])
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 

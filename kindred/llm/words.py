@@ -22,15 +22,3 @@ def words(text: Column) -> Column:
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP, -1))
 
-
-def removed_bytes(text: Column, parts: str) -> Column:
-    """How many bytes of ``text`` the single-byte characters ``parts`` take."""
-    left = text
-    for c in parts:
-        left = F.replace(left, F.lit(c), F.lit(""))
-    return F.octet_length(text) - F.octet_length(left)
-
-
-def occurrences(text: Column, part: Column) -> Column:
-    """Non-overlapping occurrences of ``part`` in ``text``."""
-    return (F.octet_length(text) - F.octet_length(F.replace(text, part, F.lit("")))) / F.octet_length(part)
