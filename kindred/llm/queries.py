@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, mixing, quality, secrets, simhash, urls
+from kindred.llm import bpe, chat, mixing, passages, quality, secrets, simhash, substrings, urls
 from kindred.llm.store import settle
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word windows of all documents that start in an earlier document, removed."""
+    done = substrings.dedup(_table(spark, sf_dir, "documents"), length=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution divergence of every document from its language."""
     judged = quality.judge(_table(spark, sf_dir, "documents"), min_words=50, carry=["doc_id"])
@@ -29,6 +35,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200-byte strings of all documents that start anywhere else, removed."""
+    done = passages.dedup(_table(spark, sf_dir, "documents"), length=200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed patterns and the randomness battery over every document."""
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,8 +93,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_quality_rules,
         op4_byte_bpe,
+        op5_suffix_array_dedup,
         op6_secret_scan,
         op7_url_filter,
         op8_mix_sources,
