@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, mixing, passages, quality, secrets, simhash, substrings, urls
+from kindred.llm import bpe, chat, mixing, passages, quality, secrets, simhash, substrings, urls, vectors
 from kindred.llm.store import settle
 
 
@@ -27,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all rows with cosine 0.9 or more, by sorted projection passes."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and what they decode to."""
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary="byte_bpe_50k.tiktoken")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup,
         op2_quality_rules,
+        op3_embedding_near_dedup,
         op4_byte_bpe,
         op5_suffix_array_dedup,
         op6_secret_scan,
