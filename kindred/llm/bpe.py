@@ -5,7 +5,8 @@ the last token of what comes before it without being merged with it. So an encod
 byte. Its state is the last token that is settled and the bytes after it. A place is alive while
 the bytes from it on may still begin a longer token; a token is emitted as soon as the paths to all
 places that are alive agree on it, which is after less than the longest token's bytes. States and
-steps are made when a text first needs them and forgotten when there are too many.
+steps are made when a text first needs them. Once there are as many as a worker may keep, a piece that
+leaves the known steps goes on from its state through steps that are worked out and not kept.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: steps of the transducer, and whole pieces with their tokens.
-MOST_STEPS, MOST_WORDS, LONGEST_WORD = 500_000, 400_000, 64
+MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 120_000, 400_000, 200_000, 64
 
 
 def load_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -63,14 +64,13 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.begins = {b[:k] for b in ranks for k in range(1, len(b))}
         self.split = regex.compile(pattern).findall
-        self.canonical: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.longest = max(map(len, ranks))
+        #: Tokens that merges do make of their own bytes; others never occur.
+        self.tokens = {b: i for b, i in ranks.items() if self.merge(b) == [i]}
+        self.pairs: dict[int, bool] = {}
         self.words = _Memo(self)
-        self.forget()
-
-    def forget(self) -> None:
         self.states: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.data: list[tuple[int, bytes, list[int]]] = [(-1, b"", [-1])]
+        self.data: list[tuple[bytes, list[int | None]]] = [(b"", [-1])]
         self.last: list[list[int]] = [[]]
         self.steps: dict[int, tuple[int, list[int]]] = {}
 
@@ -86,24 +86,22 @@ class Transducer:
 
     def _apart(self, a: int, b: int) -> bool:
         """May token b follow token a in an encoding?"""
-        if a < 0:
-            return True
-        found = self.pairs.get((a, b))
+        key = a << 20 | b
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > MOST_STEPS:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            found = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
-    def _token(self, piece: bytes) -> int | None:
-        """The token with these bytes, if merges ever make it."""
-        t = self.ranks.get(piece)
-        if t is None:
-            return None
-        ok = self.canonical.get(piece)
-        if ok is None:
-            ok = self.canonical[piece] = self.merge(piece) == [t]
-        return t if ok else None
+    def _end(self, held: bytes, ends: list[int | None], n: int) -> int | None:
+        """The last token of the encoding of ``held[:n]``, given those of its beginnings."""
+        tokens = self.tokens
+        for j in range(max(0, n - self.longest), n):
+            before = ends[j]
+            if before is not None and (t := tokens.get(held[j:n])) is not None and (before < 0 or self._apart(before, t)):
+                return t
+        return None
 
     def _chain(self, ends: list[int], at: int) -> list[int]:
         """Places passed on the way back from ``at`` to the settled one, last first."""
@@ -115,15 +113,9 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> tuple[int, list[int]]:
         """Make the step of ``state`` on ``byte``: the next state and the tokens emitted."""
-        settled, held, ends = self.data[state]
+        held, ends = self.data[state]
         held, n = held + bytes([byte]), len(held) + 1
-        end = None
-        for size in range(n, 0, -1):
-            before = ends[n - size]
-            if (before is not None) and (t := self._token(held[n - size :])) is not None and self._apart(before, t):
-                end = t
-                break
-        ends = [*ends, end]
+        ends = [*ends, self._end(held, ends, n)]
         alive = [j for j in range(n) if ends[j] is not None and held[j:] in self.begins] + [n]
         chains = [self._chain(ends, j) for j in alive]
         common = max(set(chains[0]).intersection(*chains[1:]))
@@ -137,17 +129,27 @@ class Transducer:
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.data)
-            self.data.append((key[0], key[1], kept))
+            self.data.append((key[1], kept))
             self.last.append([kept[p] for p in self._chain(kept, len(kept) - 1)[:-1]][::-1])
         self.steps[state << 8 | byte] = found = (to, out)
         return found
 
+    def _rest(self, state: int, rest: bytes) -> list[int]:
+        """What is still to emit in ``state`` if ``rest`` ends the piece; nothing is kept."""
+        held, ends = self.data[state]
+        n, held, ends = len(held), held + rest, list(ends)
+        for i in range(n + 1, len(held) + 1):
+            ends.append(self._end(held, ends, i))
+        return [ends[p] for p in self._chain(ends, len(held))[:-1]][::-1]
+
     def piece(self, piece: bytes) -> list[int]:
-        if len(self.steps) > MOST_STEPS:
-            self.forget()
         state, out, steps = 0, [], self.steps
-        for byte in piece:
-            found = steps.get(state << 8 | byte) or self.step(state, byte)
+        for k, byte in enumerate(piece):
+            found = steps.get(state << 8 | byte)
+            if found is None:
+                if len(steps) >= MOST_STEPS:
+                    return out + self._rest(state, piece[k:])
+                found = self.step(state, byte)
             state = found[0]
             if found[1]:
                 out += found[1]
@@ -169,7 +171,7 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.whole: dict[int, str | None] = {}
+        self.whole: list[str | None] = [None] * (max(self.bytes_of) + 1)
         for i, b in self.bytes_of.items():
             try:
                 self.whole[i] = b.decode()
@@ -220,7 +222,7 @@ class Decoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         ids = list(ids)
-        parts = [self.whole[i] for i in ids]
+        parts = list(map(self.whole.__getitem__, ids))
         return "".join(self.stream(ids)) if None in parts else "".join(parts)
 
 
@@ -242,29 +244,38 @@ def _bounded(b: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, most)
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) more: its texts, whole, as BPE tokens.
 
-    A null text is encoded as an empty one; special tokens are ordinary text. Rows are encoded one by one, so
-    repeated rows and extra columns pass unchanged; a column named as ``ids`` is replaced.
+    With ``decoded``, a column of that name holds what the decoder makes of the ids, as a stream. A null
+    text is encoded as an empty one; special tokens are ordinary text. Rows are encoded one by one, so
+    repeated rows and extra columns pass unchanged; columns of the names of the new ones are replaced.
+    An empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c.lower() != ids.lower()]
+    new = [c for c in (ids, decoded) if c]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables below hold no cycles, and scanning them doubles the time
         machine = _loaded(Transducer, vocabulary, pattern)
+        back = _loaded(Decoder, vocabulary) if decoded else None
         for whole in batches:
             for b in _bounded(whole):
-                flat, ends = array("i"), array("i", [0])
+                flat, ends, texts = array("i"), array("i", [0]), []
                 for value in b.column(at):
-                    flat.extend(machine.encode(value.as_py() or ""))
+                    found = machine.encode(value.as_py() or "")
+                    flat.extend(found)
                     ends.append(len(flat))
+                    if back:
+                        texts.append(back.decode(found))
                 lists = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*kept, ids])
+                more = [pa.array(texts, pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*b.columns, lists, *more], [*kept, *new])
 
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.StringType()) for c in new[1:]]
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *fields]))
 
 
 def decode(rows: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:

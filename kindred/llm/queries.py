@@ -34,8 +34,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and what they decode to."""
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary="byte_bpe_50k.tiktoken")
-    done = bpe.decode(ids.select("doc_id", "ids"))
+    done = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded", vocabulary="byte_bpe_50k.tiktoken")
     digest = lambda c: F.sha2(c, 256)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
