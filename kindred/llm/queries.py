@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, mixing, passages, quality, secrets, simhash, substrings, urls, vectors
+from kindred.llm import bpe, chat, mixing, oracle, passages, quality, secrets, simhash, substrings, urls, vectors
 from kindred.llm.store import settle
 
 
@@ -110,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)

@@ -127,7 +127,10 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, group_min=6), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base", "added")], let(base, lambda b: F.struct(b.alias("base"), noise_spans(text, b, rate).alias("added"))).alias("_s")).selectExpr(*[f"`{c}`" for c in docs.columns if c.lower() not in ("base", "added")], "_s.base as base", "_s.added as added")
+    kept = [c for c in docs.columns if c.lower() not in ("base", "added")]
+    found = let(base, lambda b: F.struct(b.alias("base"), noise_spans(text, b, rate).alias("added"))).alias("__kindred_found")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], found)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "__kindred_found.base", "__kindred_found.added")
 
 
 def listing(found: Column) -> Column:

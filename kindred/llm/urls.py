@@ -160,10 +160,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     """
     spark = pages.sparkSession
     host, path = host_path(F.col("url"))
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict", "_host", "_path", "_rule")]
-    base = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("_host"), path.alias("_path"))
-    base = base.withColumn("_rule", rule(F.col("_host"), F.col("_path"), rules))
-    labelled = base.filter("_rule is not null").select(F.coalesce("url", F.lit("")).alias("url"), (F.col("_rule.verdict") == "allow").cast("int").alias("label"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
+    base = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("__kindred_host"), path.alias("__kindred_path"))
+    base = base.withColumn("__kindred_rule", rule(F.col("__kindred_host"), F.col("__kindred_path"), rules))
+    labelled = base.filter("__kindred_rule is not null").select(F.coalesce("url", F.lit("")).alias("url"), (F.col("__kindred_rule.verdict") == "allow").cast("int").alias("label"))
     models = spark.sparkContext.broadcast(train(labelled))  # fixed size: see train()
 
     @F.pandas_udf("double")
@@ -172,5 +172,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 
     threshold = calibrate(labelled.select(score("url").alias("score"), "label"))
     judged = base.withColumn("score", score("url"))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return judged.select(*[F.col(f"`{c}`") for c in kept], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), "score", verdict.alias("verdict"))
+    verdict = F.coalesce(F.col("__kindred_rule.verdict"), F.when(F.col("score") >= threshold, "allow").otherwise("block"))
+    return judged.select(*[F.col(f"`{c}`") for c in kept], F.col("__kindred_host").alias("host"), F.col("__kindred_path").alias("path"), F.col("__kindred_rule.rule").alias("rule"), "score", verdict.alias("verdict"))
