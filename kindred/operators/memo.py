@@ -83,7 +83,7 @@ class Memo:
             draft = self.folder / f".draft-{uuid.uuid4().hex}"
             table.write.parquet(str(draft))
             draft.rename(self.folder / f"v-{number:08d}")
-            for old in before:
+            for old in before[:-1]:  # what this run has read stays until the next
                 shutil.rmtree(old, ignore_errors=True)
             return True
         except Exception as e:

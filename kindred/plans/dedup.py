@@ -6,16 +6,27 @@ import logging
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import schema
-from kindred.config import MINIMAL_HEADERS, Config
+from kindred.config import FOLDER_FORMATS, MINIMAL_HEADERS, Config
 from kindred.functions import hashing, normalize
-from kindred.operators import cascade, memo, sinks, stats
+from kindred.operators import cascade, gate, memo, sinks, stats
+from kindred.settle import settle
 from kindred.sources import mail
 
 
+LISTED = [c.split()[0] for c in schema.LISTING.split(", ")]
+
+
+def display_name() -> Column:
+    """What a mail is called; ties between mails are broken by it."""
+    own = F.col("box_format").isin(*FOLDER_FORMATS, "table")
+    name = F.when(own, F.col("path")).otherwise(F.concat_ws(":", "source_path", "mail_id"))
+    return F.concat(F.lit("<"), F.col("box_format"), F.lit(" "), name, F.lit(">"))
+
+
 def keyed(parsed: DataFrame, config: Config, bits: int = 224) -> DataFrame:
     """PARSED rows with canonical_headers, n_headers, mail_hash, timestamp, size, body_hash, rejection, repr."""
     canonical = normalize.canonical_headers(F.col("headers"), config.hash_headers, F.col("parsed_date"))
@@ -29,9 +40,7 @@ def keyed(parsed: DataFrame, config: Config, bits: int = 224) -> DataFrame:
     rows = rows.withColumn("timestamp", F.col("ctime") if config.time_source == "ctime" else F.col("parsed_date"))
     if "size" not in parsed.columns:
         rows = rows.withColumn("size", hashing.body_size(lines))
-    own = F.col("box_format").isin(*mail.FOLDER_FORMATS, "table")
-    name = F.when(own, F.col("path")).otherwise(F.concat_ws(":", "source_path", "mail_id"))
-    rows = rows.withColumn("body_hash", hashing.raw_body(lines, bits)).withColumn("repr", F.concat(F.lit("<"), F.col("box_format"), F.lit(" "), name, F.lit(">")))
+    rows = rows.withColumn("body_hash", hashing.raw_body(lines, bits)).withColumn("repr", display_name())
     return rows.drop("headers", "parsed_date")
 
 
@@ -59,45 +68,35 @@ class Dedup:
         return mail.list_mails(self.spark, self.sources, self.config.input_format)
 
     def hash_all(self) -> DataFrame:
-        """Keyed mails; with memories on, only mails that are new or changed are opened."""
+        """Keyed mails, without their bodies, settled: each mail is read once. With memories on, only
+        mails that are new or changed are opened."""
         c, listing = self.config, self.listing()
         if not c.cache:
-            self.mails = keyed(mail.parse(listing), c)
+            self.mails = settle(self._keyed(listing), "mails")
             return self.mails
         store = memo.Memo(self.spark, c.cache_path, hashing.settings_fingerprint(c.hash_headers, c.hash_body, c.time_source))
-        listing, old = listing.persist(), store.load()
-        fresh = keyed(mail.parse(memo.misses(listing, old)), c).persist()
-        known = memo.hits(listing, old)
-        restored = known.select(*[x.split()[0] for x in schema.LISTING.split(", ")], "mail_hash", F.col("ctime").alias("timestamp") if c.time_source == "ctime" else F.col("timestamp"), "size", "body_hash")
-        restored = restored.withColumn("rejection", F.lit(None).cast("string")).withColumn("encoding_error", F.lit(False)).withColumn("body_lines", F.lit(None).cast("array<string>"))
-        own = F.col("box_format").isin(*mail.FOLDER_FORMATS)
-        restored = restored.withColumn("repr", F.concat(F.lit("<"), F.col("box_format"), F.lit(" "), F.when(own, F.col("path")).otherwise(F.concat_ws(":", "source_path", "mail_id")), F.lit(">")))
-        columns = [c_ for c_ in restored.columns]
-        self.mails = fresh.select(*columns).unionByName(restored)
-        boxes_ = [(r.source_path,) for r in old.select("source_path").distinct().toLocalIterator() if os.path.exists(r.source_path)]
-        existing = self.spark.createDataFrame(boxes_, "source_path string")
+        listing, old = settle(listing, "listing"), store.load()
+        fresh = settle(self._keyed(memo.misses(listing, old)), "fresh")
+        known = memo.hits(listing, old).withColumn("timestamp", F.col("ctime") if c.time_source == "ctime" else F.col("timestamp"))
+        known = known.withColumn("rejection", F.lit(None).cast("string")).withColumn("encoding_error", F.lit(False)).withColumn("repr", display_name())
+        self.mails = settle(fresh.unionByName(known.select(*fresh.columns)), "mails")
+        there = [(r.source_path,) for r in old.select("source_path").distinct().toLocalIterator() if os.path.exists(r.source_path)]
         # Mails whose bodies can't be encoded are opened again each time, as the rejected ones are.
         keep = fresh.filter("rejection is null and mtime_ns is not null and not encoding_error")
-        store.commit(memo.merged(old, listing, keep, existing))
+        store.commit(memo.merged(old, listing, keep, self.spark.createDataFrame(there, "source_path string")))
         return self.mails
 
+    def _keyed(self, listing: DataFrame) -> DataFrame:
+        return keyed(mail.parse(listing), self.config).select(*LISTED, "repr", "mail_hash", "timestamp", "size", "body_hash", "rejection", "encoding_error")
+
     def build_sets(self) -> DataFrame:
-        if self.mails is None:
-            self.hash_all()
-        c, mails = self.config, self.mails
+        mails, c = self.hash_all() if self.mails is None else self.mails, self.config
         # Bodies don't travel with the mails: those of contested sets are read again.
         bodies = None
         if c.content_threshold >= 0:
-            retained = mails.filter("rejection is null")
-            from kindred.operators import gate
-
-            asked = gate.contested(retained.drop("body_lines"), c.size_threshold, c.content_threshold).filter("contested")
-            listed = asked.select(*[x.split()[0] for x in schema.LISTING.split(", ")], "repr")
-            bodies = mail.parse(listed).select("source_path", "mail_id", "body_lines").join(listed.select("source_path", "mail_id", "repr"), ["source_path", "mail_id"])
-        settled = cascade.decide(mails.drop("body_lines"), c, bodies)
-        from kindred.settle import settle
-
-        self.decided = settle(settled, "decided")
+            asked = gate.contested(mails.filter("rejection is null"), c.size_threshold, c.content_threshold).filter("contested")
+            bodies = mail.parse(asked).select("source_path", "mail_id", "body_lines").join(asked.select("source_path", "mail_id", "repr"), ["source_path", "mail_id"])
+        self.decided = settle(cascade.decide(mails, c, bodies), "decided")
         return self.decided
 
     def act(self) -> dict:
