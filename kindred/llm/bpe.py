@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: steps of the transducer, and whole pieces with their tokens.
-MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 120_000, 400_000, 200_000, 64
+MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 200_000, 900_000, 400_000, 64
 
 
 def load_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -67,6 +67,8 @@ class Transducer:
         self.longest = max(map(len, ranks))
         #: Tokens that merges do make of their own bytes; others never occur.
         self.tokens = {b: i for b, i in ranks.items() if self.merge(b) == [i]}
+        #: Beginnings of tokens and tokens: the id of a token that occurs, else -1.
+        self.nodes = dict.fromkeys(self.begins, -1) | self.tokens
         self.pairs: dict[int, bool] = {}
         self.words = _Memo(self)
         self.states: dict[tuple[int, bytes], int] = {(-1, b""): 0}
@@ -135,12 +137,40 @@ class Transducer:
         return found
 
     def _rest(self, state: int, rest: bytes) -> list[int]:
-        """What is still to emit in ``state`` if ``rest`` ends the piece; nothing is kept."""
+        """What is still to emit in ``state`` if ``rest`` ends the piece; no step is kept.
+
+        From the settled token on, the longest token that may stand there is tried first. Only one
+        path of tokens that may stand next to each other leads through a place, so a place that leads
+        nowhere is never tried again.
+        """
         held, ends = self.data[state]
-        n, held, ends = len(held), held + rest, list(ends)
-        for i in range(n + 1, len(held) + 1):
-            ends.append(self._end(held, ends, i))
-        return [ends[p] for p in self._chain(ends, len(held))[:-1]][::-1]
+        text, nodes, pairs = held + rest, self.nodes, self.pairs
+        n, at, before, out, path, dead = len(text), 0, ends[0], [], [], set()
+        found: list[tuple[int, int]] | None = None
+        while at < n:
+            if found is None:
+                found, stop = [], at + 1
+                while stop <= n and (t := nodes.get(text[at:stop])) is not None:
+                    if t >= 0:
+                        found.append((stop, t))
+                    stop += 1
+            while found:
+                stop, t = found.pop()
+                if stop not in dead:
+                    if before < 0:
+                        break
+                    ok = pairs.get(before << 20 | t)
+                    if ok or (ok is None and self._apart(before, t)):
+                        break
+            else:
+                dead.add(at)
+                at, before, found = path.pop()
+                out.pop()
+                continue
+            path.append((at, before, found))
+            out.append(t)
+            at, before, found = stop, t, None
+        return out
 
     def piece(self, piece: bytes) -> list[int]:
         state, out, steps = 0, [], self.steps
