@@ -81,12 +81,20 @@ VERDICT = "mail_hash string, repr string, evicted boolean, gate_skip string"
 
 
 def judge(members: DataFrame, size_threshold: int, content_threshold: int) -> DataFrame:
-    """(mail_hash, repr, evicted, gate_skip) of contested members (mail_hash, repr, size, body_hash, body_lines)."""
+    """(mail_hash, repr, evicted, gate_skip) of contested members (mail_hash, repr, size, body_hash, body_lines).
+
+    Copies of a body are collapsed before they meet: a set comes to its task as its different bodies
+    and the names that have them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = zip(pdf["repr"], pdf["size"], pdf["body_hash"], pdf["body_lines"])
-        rows = [(name, int(size), digest, None if lines is None else list(lines)) for name, size, digest, lines in columns]
+        rows = []
+        for names, size, digest, lines in zip(pdf["names"], pdf["size"], pdf["body_hash"], pdf["body_lines"]):
+            body = None if lines is None else list(lines)
+            rows += [(name, int(size), digest, body) for name in names]
         out, skip = evict(rows, size_threshold, content_threshold)
-        return pd.DataFrame({"mail_hash": pdf["mail_hash"], "repr": pdf["repr"], "evicted": pdf["repr"].isin(out), "gate_skip": skip})
+        names = [r[0] for r in rows]
+        return pd.DataFrame({"mail_hash": pdf["mail_hash"].iloc[0], "repr": names, "evicted": [n in out for n in names], "gate_skip": skip})
 
-    return members.select("mail_hash", "repr", "size", "body_hash", "body_lines").groupBy("mail_hash").applyInPandas(run, VERDICT)
+    bodies = members.groupBy("mail_hash", "size", "body_hash").agg(F.collect_list("repr").alias("names"), F.first("body_lines").alias("body_lines"))
+    return bodies.groupBy("mail_hash").applyInPandas(run, VERDICT)
