@@ -69,6 +69,22 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
 
+OP5 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200),
+x AS (SELECT doc_id, i, sha256(b[i:i + 199]) AS h FROM p),
+f AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM x SEMI JOIN f USING (h)),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
+s AS (SELECT doc_id, g, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, max(hi) AS last FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, lo AS o, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 AS a, lo - 1 AS z FROM s
+ UNION ALL SELECT doc_id, octet_length(b) + 1, coalesce(last, 0) + 1, octet_length(b) FROM d LEFT JOIN t USING (doc_id)),
+o AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY o))) AS kept_sha256 FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d LEFT JOIN t USING (doc_id) JOIN o USING (doc_id)"""
+
 _COD = lambda v: f"replace(replace(replace({v}, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '#', chr(92) || 'h')"
 _HOT = lambda v: f"(contains({v}, '</turn>' || chr(10)) OR regexp_matches({v}, '\\\\[blhw]'))"
 OP10 = f"""
@@ -82,4 +98,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
 
-SQL = {"op1_substring_dedup": OP1, "op2_quality_rules": _op2(), "op3_embedding_near_dedup": OP3, "op10_chat_format": OP10}
+SQL = {"op1_substring_dedup": OP1, "op2_quality_rules": _op2(), "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op10_chat_format": OP10}
