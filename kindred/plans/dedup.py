@@ -99,6 +99,12 @@ class Dedup:
         self.decided = settle(cascade.decide(mails, c, bodies), "decided")
         return self.decided
 
+    def views(self) -> None:
+        """Temp views for SQL: ``mails`` (keyed), ``decisions`` and ``duplicate_sets``."""
+        self.mails.createOrReplaceTempView("mails")
+        self.decided.createOrReplaceTempView("decisions")
+        cascade.sets(self.decided).createOrReplaceTempView("duplicate_sets")
+
     def act(self) -> dict:
         if self.config.export and sinks.verb(self.config.action) in ("copy", "move") and os.path.exists(self.config.export) and not self.config.export_append:
             raise FileExistsError(f"{self.config.export} exists already")
