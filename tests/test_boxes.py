@@ -157,6 +157,13 @@ def test_locks(tmp_path):
     held.close()
 
 
+def test_views(spark, tmp_path):
+    d, _ = run(spark, [box(tmp_path / "b", "eml", [A, A, B])], strategies=("select-one",), action="delete-discarded", dry_run=True)
+    d.views()
+    got = spark.sql("select s.n, d.decision from duplicate_sets s join decisions d using (mail_hash) join mails m using (source_path, mail_id) order by 1, 2").collect()
+    assert [tuple(r) for r in got] == [(1, "unique"), (2, "discarded"), (2, "selected")]
+
+
 def test_hashes_only(spark, tmp_path):
     path = box(tmp_path / "b", "eml", [A, A, B])
     rows = hash_only(spark, [path], Config(hash_only=True)).collect()
