@@ -105,10 +105,11 @@ class RunIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # (level, table)
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, dealt: bool = False) -> str:
+        """Save a run; ``dealt`` says that the rows come from a join of runs, and so by bucket already."""
         name = f"kindred_run_{uuid.uuid4().hex}"
         with _merging(self.spark):
-            rows.repartition(self.buckets, "a").write.bucketBy(self.buckets, "a").sortBy("a", "z").format("parquet").saveAsTable(name)
+            (rows if dealt else rows.repartition(self.buckets, "a")).write.bucketBy(self.buckets, "a").sortBy("a", "z").format("parquet").saveAsTable(name)
         return name
 
     def append(self, zones_: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ class RunIndex:
         rows = [self.spark.table(t).select("a", "z", F.struct("doc", "at").alias(f"f{i}"), F.col("m").alias(f"m{i}")) for i, t in enumerate((left, right))]
         both = rows[0].join(rows[1], ["a", "z"], "full")
         merged = both.select("a", "z", F.least("f0", "f1").alias("f"), (F.coalesce("m0", F.lit(0)) + F.coalesce("m1", F.lit(0))).alias("m")).select("a", "z", "f.doc", "f.at", "m")
-        name = self._write(merged)
+        name = self._write(merged, dealt=True)
         self.runs[-2:] = [(level + 1, name)]
         for t in (left, right):
             self.spark.sql(f"drop table {t}")
