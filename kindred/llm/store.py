@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -26,6 +27,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     the step that runs: earlier steps are read from the shared folder.
     """
     spark = df.sparkSession
+    # Columns that are null by type can't be written; as strings they are null all the same.
+    if untyped := [c for c, kind in df.dtypes if kind == "void"]:
+        df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in untyped})
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
