@@ -93,7 +93,6 @@ def test_cascades(spark):
     for _ in range(14):
         names = canonical(r.sample(DETERMINED, r.randint(1, 3)))
         c = Config(strategies=names, regexp="[13]$", size_threshold=-1, content_threshold=-1)
-        pattern = type("P", (), {"__contains__": None})
         got = {}
         for x in cascade.decide(df, c).collect():
             got.setdefault(x.mail_hash, []).append(x)
