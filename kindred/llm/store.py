@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at a time, where the session has Spark's own default: texts can be long.
+BATCH = ("10000", "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +34,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     if untyped := [c for c, kind in df.dtypes if kind == "void"]:
         df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in untyped})
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), ARROW: spark.conf.get(ARROW)}
     spark.conf.set(CLEANUP, "true")
+    if before[ARROW] == BATCH[0]:
+        spark.conf.set(ARROW, BATCH[1])
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._kindred_path = path
     return out
