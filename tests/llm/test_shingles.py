@@ -1,0 +1,62 @@
+"""The pipeline's near-duplicate stage against all pairs of true five-word shingle sets."""
+
+import random
+
+import corpus_pipeline as pipeline
+from kindred.llm import shingles
+
+from .helpers import docs, prose
+
+
+def sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def changed(text, n, r):
+    words = text.split()
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"new{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+def brute(data):
+    """doc_ids that survive: the least of each component of pairs at 0.8 or more."""
+    s = {i: sets(t) for i, t in data}
+    up = {i: i for i in s}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in s:
+        for j in s:
+            if i < j and jaccard(s[i], s[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return {i for i in s if find(i) == i}
+
+
+def test_planted_copies(spark, monkeypatch):
+    r = random.Random(5)
+    data = []
+    for i in range(100):
+        text = prose(1000 + i, 400, 5000)
+        # 2 to 10 changed words of 400 leave similarities from about 0.95 to below 0.8.
+        data += [(i, text), (1000 + i, changed(text, 2 + i % 9, r))]
+    # A crowd of copies of one text, most of which are not similar to each other, and texts of few or no words.
+    text = prose(7, 200, 5000)
+    data += [(2000 + i, changed(text, 3 + i % 3, r)) for i in range(12)]
+    data += [(3000, "a b c"), (3001, "A  b\nc"), (3002, "a b d"), (3003, ""), (3004, None), (3005, " \n")]
+    planted = [jaccard(sets(t), sets(data[k + 1][1])) for k, (_, t) in enumerate(data[:200]) if not k % 2]
+    assert sum(0.8 <= j < 0.95 for j in planted) >= 50 and min(planted) < 0.8
+    table = docs(spark, [(i, t, "en", "s", 1) for i, t in data])
+    want = brute(data)
+    for most in (shingles.PAIRS, 0.01):  # pairs at once, and one member after another
+        monkeypatch.setattr(shingles, "PAIRS", most)
+        assert {x.doc_id for x in pipeline.near_dedup(spark, table, "").collect()} == want
