@@ -21,11 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest doc_id of each group of texts whose five-word shingles have a similarity of 0.8
-    or more, and of rows that repeat its doc_id the one of least text; rows without doc_id stay."""
+    or more, and of the group's rows that repeat its doc_id the one of least text; rows without doc_id stay."""
     found = shingles.near_duplicates(docs, width=5, least=0.8)
     first = found.groupBy("__kindred_root").agg(F.min("doc_id").alias("__kindred_first"))
-    kept = found.join(first, "__kindred_root").filter("doc_id = __kindred_first").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = found.join(first, "__kindred_root").filter("doc_id = __kindred_first").drop("__kindred_first")
+    # Rows of one doc_id replace each other only within their group: other texts are no copies.
+    order = Window.partitionBy("__kindred_root", "doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     kept = kept.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 

@@ -60,3 +60,11 @@ def test_planted_copies(spark, monkeypatch):
     for most in (shingles.PAIRS, 0.01):  # pairs at once, and one member after another
         monkeypatch.setattr(shingles, "PAIRS", most)
         assert {x.doc_id for x in pipeline.near_dedup(spark, table, "").collect()} == want
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, b = prose(1, 100, 5000), prose(2, 100, 5000)
+    kept = lambda data: sorted((x.doc_id, x.text) for x in pipeline.near_dedup(spark, docs(spark, [(i, t, "en", "s", 1) for i, t in data]), "").collect())
+    assert kept([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(5, a), (5, b), (5, a)]) == sorted([(5, a), (5, b)])
