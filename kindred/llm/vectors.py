@@ -199,7 +199,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, window: int = 32,
     n = distinct.count()
     turns = passes_for(n, threshold, window, recall)
     keyed = distinct.mapInArrow(_keys(turns, seed), "turn int, dim int, key long, id long, vec array<double>")
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A border joins two partitions only: each has to hold the window, whatever the session deals out.
+    parts = max(1, min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * turns // (4 * window)))
     ordered = keyed.repartitionByRange(parts, "turn", "dim", "key", "id").sortWithinPartitions("turn", "dim", "key", "id")
     met = settle(ordered.mapInPandas(_windows(window, threshold), EDGES), "met")
     across = met.filter("b is null and border >= 0").groupBy("border").applyInPandas(_borders(window, threshold), "a long, b long")
