@@ -1,9 +1,10 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass all vectors are ordered by the concatenated signs of random projections, and each is
-compared to the ``window`` vectors that follow it. As many passes are made as the table's size asks for,
-so that a pair at the threshold meets with probability ``recall``. Verified pairs of all passes are united
-to components. A window would cut off the links of crowded places, so within each component
+compared to the ``window`` vectors that follow it. A round has as many passes as the table's size asks for,
+so that among vectors spread out a pair at the threshold meets with probability ``recall``. Where vectors
+lie in topics a pass tells fewer of them apart, so rounds of fresh projections go on until one joins
+nothing that was not joined before. Verified pairs of all rounds are united to components. A window would cut off the links of crowded places, so within each component
 every pair is then counted, in tiles of bounded size: no link inside a component is lost, and
 no list of pairs is made. Equal vectors are collapsed before and count as often as they are there.
 """
@@ -48,8 +49,8 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _keys(passes: int, seed: int):
-    """(id, m, vec) -> one row a pass with the 64 signs as the sort key."""
+def _keys(passes: range, seed: int):
+    """(id, m, vec) -> one row for each of the passes with the 64 signs as the sort key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -57,7 +58,7 @@ def _keys(passes: int, seed: int):
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
                 parts = _matrix(b.column(2))
-                for turn in range(passes):
+                for turn in passes:
                     key, dim = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int32)
                     for rows, x in parts:
                         d = x.shape[1]
@@ -198,14 +199,28 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, window: int = 32,
     distinct = settle(rows.filter("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).select("id", "m", "vec"), "distinct")
     n = distinct.count()
     turns = passes_for(n, threshold, window, recall)
-    keyed = distinct.mapInArrow(_keys(turns, seed), "turn int, dim int, key long, id long, vec array<double>")
     # A border joins two partitions only: each has to hold the window, whatever the session deals out.
     parts = max(1, min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * turns // (4 * window)))
-    ordered = keyed.repartitionByRange(parts, "turn", "dim", "key", "id").sortWithinPartitions("turn", "dim", "key", "id")
-    met = settle(ordered.mapInPandas(_windows(window, threshold), EDGES), "met")
-    across = met.filter("b is null and border >= 0").groupBy("border").applyInPandas(_borders(window, threshold), "a long, b long")
-    roots = components(met.filter("b is not null").select("a", "b").unionByName(across))
-    discard(met)
+    links, roots, done = None, None, 0
+    while True:
+        keyed = distinct.mapInArrow(_keys(range(done, done + turns), seed), "turn int, dim int, key long, id long, vec array<double>")
+        ordered = keyed.repartitionByRange(parts, "turn", "dim", "key", "id").sortWithinPartitions("turn", "dim", "key", "id")
+        met = settle(ordered.mapInPandas(_windows(window, threshold), EDGES), "met")
+        across = met.filter("b is null and border >= 0").groupBy("border").applyInPandas(_borders(window, threshold), "a long, b long")
+        fresh = settle(met.filter("b is not null").select("a", "b").unionByName(across), "pairs")
+        discard(met)
+        if roots is not None:
+            # Ends that no pair has touched are their own roots.
+            ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+            apart = fresh.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b")
+            fresh = settle(apart.distinct(), "pairs")
+        if not fresh.limit(1).count():
+            break
+        links = fresh if links is None else links.unionByName(fresh)
+        roots = components(links)
+        done += turns
+    if roots is None:
+        roots = components(fresh)
     members = settle(distinct.join(roots, distinct.id == roots.node).select("id", "m", "vec", "root"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
     placed = members.join(sizes, "root").withColumn("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("dim", F.size("vec"))

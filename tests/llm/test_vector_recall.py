@@ -34,3 +34,12 @@ def test_more_partitions_than_rows(spark):
         assert lost(spark, pairs(r, r.standard_normal((15, 64)))) == (0, 30)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_topics(spark):
+    r = np.random.default_rng(2)
+    topics = r.standard_normal((3, 64))
+    topics /= np.linalg.norm(topics, axis=1, keepdims=True)
+    base = topics[r.integers(0, 3, 1500)] + 0.5 * r.standard_normal((1500, 64)) / 8
+    gone, of = lost(spark, pairs(r, base), window=8)
+    assert of >= 3000 and gone <= 0.02 * of
