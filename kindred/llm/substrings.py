@@ -71,12 +71,15 @@ def _zones(length: int, k: int):
                 a, z, first, n = zones(Sums(values[lo:hi]), inside, length, k)
                 doc = np.searchsorted(ends, first + lo, side="right")
                 at = first + lo - np.concatenate([[0], ends])[doc]
-                # Zones that a document holds twice are marked: only their first place is indexed.
+                # Zones that a document may hold twice are marked: only their first place is indexed.
                 by = np.lexsort((z, a, doc))
                 twin = (a[by][1:] == a[by][:-1]) & (z[by][1:] == z[by][:-1]) & (doc[by][1:] == doc[by][:-1])
                 again = np.zeros(len(a), bool)
                 again[by[1:]] |= twin
                 again[by[:-1]] |= twin
+                # The twin of a zone may lie in another part of its document.
+                begins = np.concatenate([[0], ends[:-1]])
+                again |= (begins[doc] < lo) | (ends[doc] > lo + MOST_WORDS)
                 columns = [a.view(np.int64), z.view(np.int64), np.array(ids, np.int64)[doc], at << 8 | again.astype(np.int64) << 7 | n]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "z", "doc", "at"])
 
