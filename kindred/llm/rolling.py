@@ -8,7 +8,10 @@ of windows, and the hash of all items that its windows cover.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
 U = np.uint64
 _BASE, _MOD = 0xD6E8FEB86659FD93, 1 << 64
@@ -45,6 +48,60 @@ PLACE = U((1 << 22) - 1)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
+#: The characters between words.
+SPACE = b" \t\n\x0b\x0c\r"
+_GAP = np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))
+#: Bytes of text that are hashed at a time.
+PART = 1 << 20
+#: One random odd value for each place in a word; words of more bytes are hashed by XXH3.
+PLACES = mix(np.arange(1, 65, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F)) | U(1)
+
+
+def word_parts(text: bytes) -> Iterator[bytes]:
+    """``text`` in parts of about PART bytes, none of which cuts a word."""
+    at, n = 0, len(text)
+    while at < n:
+        stop = min(n, at + PART)
+        if stop < n:
+            cut = max(text.rfind(bytes([c]), at, stop) for c in SPACE)
+            if cut < 0:  # a word that is longer than a part
+                cut = min((p for c in SPACE if (p := text.find(bytes([c]), stop)) >= 0), default=n)
+            stop = max(cut, at + 1)
+        yield text[at:stop]
+        at = stop
+
+
+def word_hashes(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, bytes) of each word of ``part``; equal words have equal hashes everywhere.
+
+    A hash is a sum of products of two random values, for the byte and for its place in the word, so no
+    pattern of letters cancels as it can in powers of one base.
+    """
+    if len(part) > 2 * PART:  # one word, see word_parts
+        word = part.strip(SPACE)
+        return np.array([xxhash.xxh3_64_intdigest(word)], U)[: len(word)], np.array([len(word)], np.int64)[: len(word)]
+    raw = np.frombuffer(part, np.uint8)
+    gap = _GAP[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    size = stop - start
+    if not len(start):
+        return np.empty(0, U), size
+    letters, first = raw[~gap], np.cumsum(size) - size
+    place = np.minimum(np.arange(len(letters)) - np.repeat(first, size), len(PLACES) - 1)
+    values = mix(np.add.reduceat(BYTE[letters] * PLACES[place], first) + size.astype(U) * U(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(size > len(PLACES)).tolist():
+        values[i] = xxhash.xxh3_64_intdigest(part[start[i] : stop[i]])
+    return values, size
+
+
+def digests(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """XXH3-128 of each slice of ``data``, as two columns of signed 64-bit values."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    out = b"".join([digest(view[s:e]) for s, e in zip(start.tolist(), stop.tolist())])
+    return np.frombuffer(out, ">i8").astype(np.int64).reshape(-1, 2)
+
+
 class Sums:
     """Running hash sums of a buffer; ``span(s, e)`` is the hash of items s to e, wherever they stand."""
 

@@ -1,13 +1,13 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 A document's windows of ``length`` words are fingerprinted by their minimizer, the least hash of the
-``k``-word pieces in them, and windows in a row that share one are stored as one zone with a
-hash of all its words. The index is a list of immutable runs: tables bucketed and sorted by
-fingerprint, one row for each distinct zone with the smallest document it was seen in. A batch of new documents becomes
-a run and is merge-joined with the runs before it, without moving them; runs of like size are
-merged, which keeps the rows of zones' first documents only. A zone met in an earlier document is removed; zones of one fingerprint
-that differ are verified window by window, on two independent 64-bit hashes of the words themselves,
-read from the documents.
+``k``-word pieces in them; windows in a row that share one are a zone, known by the XXH3-128 digest
+of its words' bytes. The index is a list of immutable runs: tables bucketed and sorted by
+fingerprint, one row for each distinct zone with the smallest document it was seen in. A batch of new
+documents becomes a run and is merge-joined with the runs before it, without moving them; runs of
+like size are merged, which keeps the rows of zones' first documents only. A zone that an earlier
+document has, byte for byte, is removed; zones of one fingerprint that differ are verified window by
+window, by the XXH3-128 digest of each window's bytes, read from the documents.
 """
 
 from __future__ import annotations
@@ -21,74 +21,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.rolling import BYTE, U, Sums, mix, zones
+from kindred.llm.rolling import Sums, digests, word_hashes, word_parts, zones
 from kindred.llm.store import CLEANUP, discard, settle
 
 LENGTH, PIECE = 13, 5
+#: Bytes of short texts that are hashed together.
 CHUNK = 1 << 20
-#: Positions are kept as (first word << 8 | again << 7 | windows); a zone has fewer than 64 windows.
-AGAIN = 1 << 7
-#: Words of a long text that are hashed at a time; its windows overlap from one part to the next.
+#: Places are kept as (first word << 7 | windows); a zone has fewer than 64 windows.
+WINDOWS = (1 << 7) - 1
+#: Words whose zones are found at a time; windows overlap from one part of a long text to the next.
 MOST_WORDS = 1 << 20
+ZONE = ["a", "z", "y"]
 
 
-def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words up to the end of each text)."""
-    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    return Sums(BYTE[raw]).span(start, stop), np.searchsorted(start, ends)
+def plain(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(words joined by one space, hash of each word, bytes of each word)."""
+    if len(text) <= CHUNK:
+        values, size = word_hashes(text)
+        return b" ".join(text.split()), values, size
+    parts = [(b" ".join(p.split()), *word_hashes(p)) for p in word_parts(text)]
+    return b" ".join(p[0] for p in parts if p[0]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """(doc, sub) and texts: as many short texts as make a chunk, or one long one."""
     ids, parts, size = [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for doc, sub, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             data = text.as_buffer()
-            if data is not None:
-                ids.append(key)
-                parts.append(data.to_pybytes())
-                size += len(parts[-1])
-            if size >= CHUNK:
+            if data is None or not len(data):
+                continue
+            if size and size + len(data) > CHUNK:
                 yield ids, parts
                 ids, parts, size = [], [], 0
+            ids.append((doc, sub))
+            parts.append(data.to_pybytes())
+            size += len(parts[-1]) + 1
     if ids:
         yield ids, parts
 
 
 def _zones(length: int, k: int):
+    """(doc, sub, text) -> (a, z, y, doc, sub, at) of every zone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, parts in texts_of(batches):
-            values, ends = word_hashes(parts)
+        for ids, texts in _groups(batches):
+            joined, values, size = plain(b" ".join(texts))
+            if len(texts) > 1:
+                counts = [len(t.split()) for t in texts]
+            else:
+                counts = [len(values)]
+            ends = np.cumsum(counts)
+            stop = np.cumsum(size + 1) - 1  # in joined
+            keys = np.array(ids, np.int64)
             for lo in range(0, max(1, len(values)), MOST_WORDS):
                 hi = min(len(values), lo + MOST_WORDS + length - 1)
                 inside = np.unique(np.concatenate([np.clip(ends - lo, 0, hi - lo), [hi - lo]]))
                 inside = inside[inside > 0]
                 if not len(inside):
                     continue
-                a, z, first, n = zones(Sums(values[lo:hi]), inside, length, k)
-                doc = np.searchsorted(ends, first + lo, side="right")
-                at = first + lo - np.concatenate([[0], ends])[doc]
-                # Zones that a document may hold twice are marked: only their first place is indexed.
-                by = np.lexsort((z, a, doc))
-                twin = (a[by][1:] == a[by][:-1]) & (z[by][1:] == z[by][:-1]) & (doc[by][1:] == doc[by][:-1])
-                again = np.zeros(len(a), bool)
-                again[by[1:]] |= twin
-                again[by[:-1]] |= twin
-                # The twin of a zone may lie in another part of its document.
-                begins = np.concatenate([[0], ends[:-1]])
-                again |= (begins[doc] < lo) | (ends[doc] > lo + MOST_WORDS)
-                columns = [a.view(np.int64), z.view(np.int64), np.array(ids, np.int64)[doc], at << 8 | again.astype(np.int64) << 7 | n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "z", "doc", "at"])
+                a, _, first, n = zones(Sums(values[lo:hi]), inside, length, k)
+                first = first + lo
+                last = first + n - 2 + length
+                zy = digests(joined, stop[first] - size[first], stop[last])
+                doc = np.searchsorted(ends, first, side="right")
+                at = (first - np.concatenate([[0], ends])[doc]) << 7 | n
+                columns = [a.view(np.int64), zy[:, 0], zy[:, 1], keys[doc, 0], keys[doc, 1], at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*ZONE, "doc", "sub", "at"])
 
     return run
 
 
 @contextmanager
 def _merging(spark: SparkSession) -> Iterator[None]:
-    """Joins on (a, z) of tables that are bucketed by a move no rows; exchanges end with their write."""
+    """Joins on zones of tables that are bucketed by a move no rows; exchanges end with their write."""
     wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", CLEANUP: "true"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
@@ -101,31 +107,40 @@ def _merging(spark: SparkSession) -> Iterator[None]:
 
 
 class RunIndex:
-    """Sorted runs of (a, z, doc, at, m): zones, their first document and place, and their rows."""
+    """Sorted runs of (a, z, y, doc, sub, at): zones, their first document and place.
+
+    ``manifest`` names the runs; an index of the same session catalog is opened again with it, so that
+    batches of later runs are compared with all that came before.
+    """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, manifest: list[tuple[int, str]] | None = None):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = []  # (level, table)
+        self.runs: list[tuple[int, str]] = [tuple(r) for r in manifest or []]  # (level, table)
+
+    @property
+    def manifest(self) -> list[tuple[int, str]]:
+        return list(self.runs)
 
     def _write(self, rows: DataFrame, dealt: bool = False) -> str:
         """Save a run; ``dealt`` says that the rows come from a join of runs, and so by bucket already."""
         name = f"kindred_run_{uuid.uuid4().hex}"
         with _merging(self.spark):
-            (rows if dealt else rows.repartition(self.buckets, "a")).write.bucketBy(self.buckets, "a").sortBy("a", "z").format("parquet").saveAsTable(name)
+            (rows if dealt else rows.repartition(self.buckets, "a")).write.bucketBy(self.buckets, "a").sortBy(*ZONE).format("parquet").saveAsTable(name)
         return name
 
     def append(self, zones_: DataFrame) -> DataFrame:
-        """Add a batch's zones as a run; returns (a, z, first): zones with rows in more than one place
-        of the batch or in an earlier run, and the smallest document of each."""
+        """Add a batch's zones (one row each, with m, its rows in the batch) as a run; returns
+        (a, z, y, first, again): zones that have more than one row in the batch or were in an earlier
+        run, and the smallest document of each. ``again``: its first document holds it more than once."""
         name = self._write(zones_)
-        met = self.spark.table(name).select("a", "z", "doc", "m")
+        met = self.spark.table(name).select(*ZONE, "doc", "m", "again")
         first = F.col("doc")
         for i, (_, run) in enumerate(self.runs):
-            old = self.spark.table(run).select("a", "z", F.col("doc").alias(f"doc{i}"))
-            met = met.join(old, ["a", "z"], "left")
+            old = self.spark.table(run).select(*ZONE, F.col("doc").alias(f"doc{i}"))
+            met = met.join(old, ZONE, "left")
             first = F.least(first, F.col(f"doc{i}"))
-        found = met.filter((F.col("m") > 1) | (first < F.col("doc"))).select("a", "z", first.alias("first")) if self.runs else met.filter("m > 1").select("a", "z", first.alias("first"))
+        found = met.filter((F.col("m") > 1) | (first < F.col("doc"))).select(*ZONE, first.alias("first"), "again")
         with _merging(self.spark):
             found = settle(found, "met")
         self.runs.append((0, name))
@@ -135,10 +150,11 @@ class RunIndex:
 
     def _merge(self) -> None:
         (level, left), (_, right) = self.runs[-2:]
-        rows = [self.spark.table(t).select("a", "z", F.struct("doc", "at").alias(f"f{i}"), F.col("m").alias(f"m{i}")) for i, t in enumerate((left, right))]
-        both = rows[0].join(rows[1], ["a", "z"], "full")
-        merged = both.select("a", "z", F.least("f0", "f1").alias("f"), (F.coalesce("m0", F.lit(0)) + F.coalesce("m1", F.lit(0))).alias("m")).select("a", "z", "f.doc", "f.at", "m")
-        name = self._write(merged, dealt=True)
+        rows = [self.spark.table(t).select(*ZONE, F.struct("doc", "sub", "at").alias(f"f{i}"), F.col("m").alias(f"m{i}"), F.col("again").alias(f"g{i}")) for i, t in enumerate((left, right))]
+        both = rows[0].join(rows[1], ZONE, "full")
+        again = F.when(F.coalesce(F.col("f0") <= F.col("f1"), F.col("f0").isNotNull()), F.col("g0")).otherwise(F.col("g1"))
+        merged = both.select(*ZONE, F.least("f0", "f1").alias("f"), (F.coalesce("m0", F.lit(0)) + F.coalesce("m1", F.lit(0))).alias("m"), again.alias("again"))
+        name = self._write(merged.select(*ZONE, "f.doc", "f.sub", "f.at", "m", "again"), dealt=True)
         self.runs[-2:] = [(level + 1, name)]
         for t in (left, right):
             self.spark.sql(f"drop table {t}")
@@ -155,28 +171,33 @@ class RunIndex:
         self.runs = []
 
 
+def distinct_zones(seen: DataFrame) -> DataFrame:
+    """(a, z, y, doc, sub, at, m, again) of a batch's zone rows: what a run holds."""
+    place = F.struct("doc", "sub", "at")
+    # The last place of the first document is the one whose complement is least.
+    other = F.min(F.struct(F.col("doc"), F.bitwise_not("sub").alias("s"), F.bitwise_not("at").alias("t")))
+    rows = seen.groupBy(*ZONE).agg(F.min(place).alias("f"), other.alias("g"), F.count("*").alias("m"))
+    again = (F.bitwise_not("g.s") != F.col("f.sub")) | (F.bitwise_not("g.t") != F.col("f.at"))
+    return rows.select(*ZONE, "f.doc", "f.sub", "f.at", "m", again.alias("again"))
+
+
 def _windows(length: int):
-    """Rows (doc, text, places of zones) -> (doc, pos, again, h1, h2) of every window of the zones."""
+    """Rows (doc, sub, text, places of zones) -> (doc, sub, pos, h1, h2) of every window of the zones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, text, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                values, _ = word_hashes([text.as_buffer().to_pybytes()])
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+            for doc, sub, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                joined, _, size = plain(text.as_buffer().to_pybytes())
                 at = places.values.to_numpy()
-                first, n = at >> 8, at & (AGAIN - 1)
-                pos = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                pos, which = np.unique(pos, return_index=True)
-                again = np.repeat((at & AGAIN) > 0, n)[which]
-                fits = pos + length <= len(values)
-                pos, again = pos[fits], again[fits]
-                h1 = Sums(values).span(pos, pos + length)
-                h2 = Sums(mix(values)).span(pos, pos + length)
-                for column, v in zip(out, (np.full(len(pos), doc, np.int64), pos, again, h1.view(np.int64), h2.view(np.int64))):
+                first, n = at >> 7, at & WINDOWS
+                pos = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+                pos = pos[pos + length <= len(size)]
+                stop = np.cumsum(size + 1) - 1
+                h = digests(joined, stop[pos] - size[pos], stop[pos + length - 1])
+                for column, v in zip(out, (np.full(len(pos), doc, np.int64), np.full(len(pos), sub, np.int64), pos, h[:, 0], h[:, 1])):
                     column.append(v)
-            columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(bool) if t == pa.bool_() else c, t) for c, t in zip(columns, kinds)], ["doc", "pos", "again", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["doc", "sub", "pos", "h1", "h2"])
 
     return run
 
@@ -190,29 +211,26 @@ def _remove(length: int):
             for text, ranges in zip(b.column(1), b.column(2)):
                 data = text.as_buffer()
                 data = data.to_pybytes() if data is not None else b""
-                words = data.split()
-                if ranges.is_valid:
-                    fields = ranges.values
-                    pos, n, again = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                    if again.any():
-                        # The same words elsewhere in the document go too.
-                        values, _ = word_hashes([data])
-                        every = np.arange(len(values) - length + 1)
-                        h1, h2 = Sums(values).span(every, every + length), Sums(mix(values)).span(every, every + length)
-                        marked = {(int(h1[p]), int(h2[p])) for p in pos[again].tolist()}
-                        more = np.flatnonzero(np.isin(h1, np.array([m[0] for m in marked], U)))
-                        more = np.array([p for p in more.tolist() if (int(h1[p]), int(h2[p])) in marked], np.int64)
-                        pos, n = np.concatenate([pos, more]), np.concatenate([n, np.ones(len(more), n.dtype)])
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(cover, np.minimum(pos, len(words)), 1)
-                    np.add.at(cover, np.minimum(pos + n - 1 + length, len(words)), -1)
-                    keep = np.cumsum(cover)[:-1] == 0
-                    left = [w for w, k in zip(words, keep.tolist()) if k]
-                else:
-                    left = words
-                for column, v in zip(out, (len(words), len(words) - len(left), b" ".join(left).decode())):
+                at = ranges.values.to_numpy() if ranges.is_valid else ()
+                n, left, parts = 0, 0, []
+                if len(at):
+                    first, last = at >> 7, (at >> 7) + (at & WINDOWS) - 1 + length
+                for part in word_parts(data):
+                    words = part.split()
+                    if len(at):
+                        cover = np.zeros(len(words) + 1, np.int64)
+                        here = (first < n + len(words)) & (last > n)
+                        np.add.at(cover, np.maximum(first[here] - n, 0), 1)
+                        np.add.at(cover, np.minimum(last[here] - n, len(words)), -1)
+                        kept = [w for w, c in zip(words, np.cumsum(cover).tolist()) if not c]
+                    else:
+                        kept = words
+                    n, left = n + len(words), left + len(kept)
+                    if kept:
+                        parts.append(b" ".join(kept))
+                for column, v in zip(out, (n, n - left, b" ".join(parts))):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))]], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -225,43 +243,52 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, batches: in
 
     ``kept`` are the words, joined by one space, outside every ``length``-word window whose words also
     start in a document with a smaller doc_id. ``batches`` is how many steps of doc_id order the index is
-    built in; it changes no result. Null texts have no words. A null doc_id comes after all others.
-    Rows that repeat a doc_id are one document: they never remove each other's words, and what
-    goes from one, by place, goes from all, so they should be equal. Other columns are ignored.
-    An empty table gives an empty result.
+    built in; it changes no result. Null and blank texts have no words. Rows without doc_id come after all
+    others, as one document; rows that repeat a doc_id are one document too: its rows, whatever their texts,
+    never remove each other's words, and each loses what earlier documents have. Very long texts are hashed in
+    parts of a megabyte; about three times a text's bytes are held at once. Other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    cuts = texts.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10000)).first()[0] if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    index, removed = RunIndex(spark), []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        batch = texts
-        if lo is not None:
-            batch = batch.filter(F.col("doc") > lo)
-        if hi is not None:
-            batch = batch.filter(F.col("doc") <= hi)
-        seen = settle(batch.mapInArrow(_zones(length, piece), "a long, z long, doc long, at long"), "zones")
-        fresh = seen.groupBy("a", "z").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("m")).select("a", "z", "f.doc", "f.at", "m")
-        met = index.append(fresh)
-        removed.append(settle(seen.join(met, ["a", "z"]).filter("doc > first").select("doc", "at"), "removed"))
-        discard(seen, met)
-    table = spark.table(index.compact())
-    # Fingerprints with zones that differ: their windows are verified.
-    several = table.groupBy("a").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("n > 1 and low < high").select("a")
-    with _merging(spark):
-        contested = settle(table.join(several, "a").select("doc", "at"), "contested")
-    index.drop()
-    places = contested.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    windows = settle(texts.filter("text is not null").join(places, "doc").select("doc", "text", "places").mapInArrow(_windows(length), "doc long, pos long, again boolean, h1 long, h2 long"), "windows")
-    discard(contested)
-    least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    verified = settle(windows.join(settle(least.select("h1", "h2", "first"), "least"), ["h1", "h2"]).filter("doc > first").select("doc", "pos", "again"), "verified")
-    discard(windows)
-    ranges = verified.select("doc", "pos", F.lit(1).cast("long").alias("n"), "again")
-    for part in removed:
-        ranges = ranges.unionByName(part.select("doc", F.shiftright("at", 8).alias("pos"), F.col("at").bitwiseAND(F.lit(AGAIN - 1)).alias("n"), F.lit(False).alias("again")))
-    ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "again")).alias("ranges"))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
-    return rows.join(ranges, "doc", "left").select("doc_id", "text", "ranges").mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # Rows of one document are told apart by their texts, so that a range is never applied to another text.
+    key = [F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("sub")]
+    texts = docs.select("doc_id", *key, "text")
+    cuts = docs.agg(F.percentile_approx(key[0], [i / batches for i in range(1, batches)], 10000)).first()[0] if batches > 1 else []
+    cuts = sorted({c for c in cuts or [] if c < LAST})
+    index, found = RunIndex(spark), []
+    try:
+        for lo, hi in zip([None, *cuts], [*cuts, None]):
+            batch = docs
+            if lo is not None:
+                batch = batch.filter((F.col("doc_id") > lo) | F.col("doc_id").isNull())
+            if hi is not None:
+                batch = batch.filter(F.col("doc_id") <= hi)
+            seen = settle(batch.select(*key, "text").mapInArrow(_zones(length, piece), "a long, z long, y long, doc long, sub long, at long"), "zones")
+            met = index.append(distinct_zones(seen))
+            # Rows of earlier documents' zones, and all places of zones that their first document repeats.
+            hits = seen.join(met, ZONE).filter("doc > first or again")
+            found.append(settle(hits.select(*ZONE, "doc", "sub", "at", (F.col("doc") > F.col("first")).alias("out")), "found"))
+            discard(seen, met)
+        table = spark.table(index.compact())
+        # Fingerprints with zones that differ: their windows are verified.
+        several = table.groupBy("a").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("n > 1 and low < high").select("a")
+        with _merging(spark):
+            contested = settle(table.join(several, "a").select(*ZONE, "doc", "sub", "at", "again"), "contested")
+    finally:
+        index.drop()
+    places = contested.select("doc", "sub", "at")
+    repeated = contested.filter("again").select(*ZONE)
+    for part in found:
+        places = places.unionByName(part.filter("not out").join(repeated, ZONE, "left_semi").select("doc", "sub", "at"))
+    places = places.groupBy("doc", "sub").agg(F.collect_set("at").alias("places"))
+    windows = settle(texts.filter("text is not null").join(places, ["doc", "sub"]).select("doc", "sub", "text", "places").mapInArrow(_windows(length), "doc long, sub long, pos long, h1 long, h2 long"), "windows")
+    least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h1", "h2", "first")
+    verified = settle(windows.join(least, ["h1", "h2"]).filter("doc > first").select("doc", "sub", F.shiftleft("pos", 7).bitwiseOR(F.lit(1).cast("long")).alias("at")), "verified")
+    discard(windows, contested)
+    ranges = verified
+    for part in found:
+        ranges = ranges.unionByName(part.filter("out").select("doc", "sub", "at"))
+    ranges = ranges.groupBy("doc", "sub").agg(F.collect_set("at").alias("ranges"))
+    done = texts.join(ranges, ["doc", "sub"], "left").select("doc_id", "text", "ranges")
+    return done.mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))

@@ -52,10 +52,38 @@ def test_extra_columns_and_empty(spark):
     assert substrings.dedup(empty(spark)).count() == 0
 
 
+def outcome(spark, data, **options):
+    return result(substrings.dedup(docs(spark, [(i, t, None, None, None) for i, t in data]), **options))
+
+
+def test_words_whose_letters_cancel_in_powers_of_a_base(spark):
+    """The parity sequence and its complement differ by a product that vanishes modulo 2**64."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = prose(3, 12)
+    for n in (48, 2048):
+        data = [(1, f"{a[:n]} {tail}"), (2, f"{b[:n]} {tail}")]
+        assert outcome(spark, data) == brute(data, 13)
+
+
+def test_rows_that_share_a_document(spark):
+    s, q, other = prose(1, 20, 9000), prose(2, 5, 9000), prose(3, 25, 9000)
+    # Rows without doc_id, rows of one doc_id with other texts, and a passage that a document holds in two rows.
+    for i in (None, 5):
+        data = [(1, s), (i, f"{s} {q}"), (i, other), (i, f"{other} {s}"), (i, f"{s} {q}")]
+        assert outcome(spark, data) == brute(data, 13)
+    part = prose(4, 16, 9000)
+    data = [(1, f"{prose(5, 9)} {part[:-6]}"), (2, f"{part} {q} {part}"), (2, f"{other} {part}"), (3, f"{part} {other}"), (None, part), (None, part)]
+    assert outcome(spark, data, piece=3) == brute(data, 13)
+
+
 def test_runs_are_merged(spark):
     index = substrings.RunIndex(spark, 4)
+    columns = "a long, z long, y long, doc long, sub long, at long, m long, again boolean"
     for lo in (0, 10, 20):
-        index.append(spark.createDataFrame([(k, k, lo, 1, 1) for k in range(lo, lo + 15)], "a long, z long, doc long, at long, m long"))
+        # Each batch is added by an index that is opened anew.
+        index = substrings.RunIndex(spark, 4, index.manifest)
+        index.append(spark.createDataFrame([(k, k, 0, lo, 0, 1, 1, False) for k in range(lo, lo + 15)], columns))
     table = spark.table(index.compact())
     assert {(r.a, r.doc) for r in table.collect()} == {(k, 0 if k < 15 else 10 if k < 25 else 20) for k in range(35)}
     assert len(index.runs) == 1
