@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: steps of the transducer, and whole pieces with their tokens.
-MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 200_000, 900_000, 400_000, 64
+MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 100_000, 300_000, 300_000, 64
 
 
 def load_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -46,11 +46,16 @@ class _Memo(dict):
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = array("i", self.machine.piece(word.encode())).tobytes()
+        found = self.old.pop(word, None)
+        if found is None:
+            found = array("i", self.machine.piece(word.encode())).tobytes()
         if len(word) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
+            if len(self) >= MOST_WORDS // 2:
+                # What was not asked for since the last time goes; the rest is the older half now.
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -280,7 +285,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str |
     With ``decoded``, a column of that name holds what the decoder makes of the ids, as a stream. A null
     text is encoded as an empty one; special tokens are ordinary text. Rows are encoded one by one, so
     repeated rows and extra columns pass unchanged; columns of the names of the new ones are replaced.
-    An empty table gives an empty result.
+    Very long texts are encoded whole, and give one long list. An empty table gives an empty result.
     """
     new = [c for c in (ids, decoded) if c]
     kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
@@ -289,20 +294,23 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables below hold no cycles, and scanning them doubles the time
-        machine = _loaded(Transducer, vocabulary, pattern)
-        back = _loaded(Decoder, vocabulary) if decoded else None
-        for whole in batches:
-            for b in _bounded(whole):
-                flat, ends, texts = array("i"), array("i", [0]), []
-                for value in b.column(at):
-                    found = machine.encode(value.as_py() or "")
-                    flat.extend(found)
-                    ends.append(len(flat))
-                    if back:
-                        texts.append(back.decode(found))
-                lists = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
-                more = [pa.array(texts, pa.string())] if back else []
-                yield pa.RecordBatch.from_arrays([*b.columns, lists, *more], [*kept, *new])
+        try:
+            machine = _loaded(Transducer, vocabulary, pattern)
+            back = _loaded(Decoder, vocabulary) if decoded else None
+            for whole in batches:
+                for b in _bounded(whole):
+                    flat, ends, texts = array("i"), array("i", [0]), []
+                    for value in b.column(at):
+                        found = machine.encode(value.as_py() or "")
+                        flat.extend(found)
+                        ends.append(len(flat))
+                        if back:
+                            texts.append(back.decode(found))
+                    lists = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+                    more = [pa.array(texts, pa.string())] if back else []
+                    yield pa.RecordBatch.from_arrays([*b.columns, lists, *more], [*kept, *new])
+        finally:
+            gc.enable()
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.StringType()) for c in new[1:]]
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *fields]))

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from kindred.llm.components import components
 from kindred.llm.store import settle
 
-SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A variant shared by more fingerprints than this is crowded.
 CROWD = 1024
@@ -151,7 +150,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, crowd: int
 
     Null and blank texts have fingerprint zero and are linked like any other. Rows that repeat a
     doc_id come out once each. A null doc_id is returned; it never names a component unless its
-    component has no other id. An empty table gives an empty result.
+    component has no other id. Very long texts are read whole, their shingles counted in steps of 65,536.
+    Other columns are ignored. An empty table gives an empty result.
     """
     if radius % 2:
         raise ValueError("the radius has to be even, so that a ball has a middle")
