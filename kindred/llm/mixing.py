@@ -47,11 +47,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return per.select("source", "source_size", "n", "weight", F.least("cap", F.coalesce(free * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _running(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """``value`` summed up to each row within ``group``: buckets first, then rows within a bucket."""
+def _running(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, name: str, most: float | None = None) -> DataFrame:
+    """``value`` summed up to each row within ``group``: buckets first, then rows within a bucket.
+
+    Rows of buckets that begin beyond ``most`` are left out before any row is sorted.
+    """
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    if most is not None:
+        sums = sums.filter(F.col("_before") <= most)
     within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     keys = [df[g].eqNullSafe(sums[g]) for g in group] + [df[bucket] == sums[bucket]]
     on = keys[0]
@@ -66,7 +71,8 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
 
     ``taken`` is the number of the document's words in the mix, repeats counted: a multiple of its
     size, at most ``passes``. Equal input gives equal output, whatever its partitioning: the shuffle
-    is a hash of seed, pass and doc_id, with ties broken by doc_id and size. A null source is a
+    is an MD5 of seed, pass, doc_id and size, with ties broken by doc_id and size, and equal finish times of
+    two sources go in order of the sources. A null source is a
     source; null sizes count as 0; documents without words finish at once and take nothing. Rows
     that repeat a doc_id are documents of their own. An empty table gives an empty result.
     """
@@ -77,15 +83,16 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     tagged = sizes.join(goal.select(F.col("source").alias("_s"), "source_size", "n", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     turn = F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("turn")
     queue = tagged.select("doc_id", "source", "size", "n", "target", turn).filter("size > 0")
-    queue = queue.withColumn("draw", F.xxhash64(F.lit(seed), "turn", "doc_id").bitwiseAND(F.lit((1 << 40) - 1)))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("turn").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    queue = queue.withColumn("draw", F.conv(F.substring(drawn, 1, 10), 16, 10).cast("long"))
     slots = F.ceil(F.col("n") / BUCKET)
     queue = queue.withColumn("slot", F.col("turn") * slots + F.floor(F.col("draw") * slots / F.lit(1 << 40)))
     queue = _running(queue, ["source"], "slot", ["turn", "draw", "doc_id", "size"], "size", "done")
     queue = settle(queue.select("doc_id", "source", "size", (F.col("done") / F.col("target")).alias("finish"), "turn", "draw"), "queue")
-    # Finish times run from 0 to the passes over a source's share; times past 1.25 can't be in the budget's reach.
+    # The budget ends near time 1; later times, which have no bound, share bins that grow with them.
     bins = max(1, (total["n"] or 0) * passes // BUCKET)
-    queue = queue.withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(2.0)) / 2.0 * bins).cast("long"))
-    merged = _running(queue.withColumn("_all", F.lit(0)), ["_all"], "bin", ["finish", "source", "turn", "draw", "doc_id", "size"], "size", "total")
+    queue = queue.withColumn("bin", F.floor(F.col("finish") / (F.col("finish") + 1) * 4 * bins).cast("long"))
+    merged = _running(queue.withColumn("_all", F.lit(0)), ["_all"], "bin", ["finish", "source", "turn", "draw", "doc_id", "size"], "size", "total", most=budget)
     taken = merged.filter(F.col("total") <= budget).groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
     # Rows that are alike in all three columns share what was taken of them: passes for each at most.
     alike = tagged.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.count("*").alias("alike"))

@@ -98,4 +98,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
 
-SQL = {"op1_substring_dedup": OP1, "op2_quality_rules": _op2(), "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op10_chat_format": OP10}
+OP8 = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+c AS (SELECT *, 2 * CAST(source_size AS DOUBLE) AS cap, 2 * CAST(source_size AS DOUBLE) / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(weight) OVER () AS weights FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER w, 0)) / CAST(weights - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level FROM c
+ WINDOW w AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, source_size, budget, least(cap, coalesce((SELECT arg_min(level, ratio) FROM l WHERE ratio >= level) * weight, cap)) AS target FROM l),
+q AS (SELECT d.*, g.target, g.budget, turn, CAST('0x' || substring(md5('17|' || turn || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 10) AS BIGINT) AS draw
+ FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, (SELECT unnest([0, 1]) AS turn) WHERE size > 0),
+f AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY turn, draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) / target AS finish FROM q),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, turn, draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS total FROM f),
+t AS (SELECT doc_id, source, size, count(*) AS times FROM m WHERE total <= budget GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy, count(*) OVER (PARTITION BY doc_id, source, size) AS alike FROM d)
+SELECT a.doc_id, a.source, a.size, g.source_size, g.target, CAST(a.size * (coalesce(t.times, 0) // alike + CASE WHEN copy <= coalesce(t.times, 0) % alike THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source LEFT JOIN t ON a.doc_id IS NOT DISTINCT FROM t.doc_id AND a.source IS NOT DISTINCT FROM t.source AND a.size = t.size"""
+
+SQL = {"op8_mix_sources": OP8, "op1_substring_dedup": OP1, "op2_quality_rules": _op2(), "op3_embedding_near_dedup": OP3, "op5_suffix_array_dedup": OP5, "op10_chat_format": OP10}
