@@ -1,6 +1,7 @@
 """Recall of the embedding passes where rows are few or crowded."""
 
 import numpy as np
+import pytest
 
 from kindred.llm import vectors
 
@@ -36,6 +37,20 @@ def test_more_partitions_than_rows(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.6, 0.8])
+def test_vectors_that_share_a_direction(spark, mean):
+    """6,000 vectors of one mean cosine, at the defaults: planted pairs at 0.905 are found."""
+    r = np.random.default_rng(4)
+    way = np.ones(64) / 8
+    base = np.sqrt(mean) * way + np.sqrt(1 - mean) * r.standard_normal((5_000, 64)) / 8
+    unit = base[:1000] / np.linalg.norm(base[:1000], axis=1, keepdims=True)
+    noise = np.sqrt(mean) * way + np.sqrt(1 - mean) * r.standard_normal((1000, 64)) / 8
+    noise -= (noise * unit).sum(1, keepdims=True) * unit
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    gone, of = lost(spark, np.concatenate([base, 0.905 * unit + np.sqrt(1 - 0.905**2) * noise]))
+    assert of >= 2000 and gone <= 0.05 * of
+
+
 def test_topics(spark):
     r = np.random.default_rng(2)
     topics = r.standard_normal((3, 64))
