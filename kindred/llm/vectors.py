@@ -96,7 +96,7 @@ def _keys(passes: range, seed: int, middle: dict[int, np.ndarray]):
                 parts = [(rows, x - middle[x.shape[1]]) for rows, x in _matrix(b.column(2))]
                 sketch, dim = np.zeros((n, SKETCH), np.int64), np.zeros(n, np.int32)
                 for rows, x in parts:
-                    sketch[rows] = _signs(x, [seed, x.shape[1]], SKETCH)
+                    sketch[rows] = _signs(x, [seed, x.shape[1], passes.start + 1, SKETCH], SKETCH)
                     dim[rows] = x.shape[1]
                 for turn in passes:
                     key = np.zeros(n, np.int64)
@@ -125,22 +125,28 @@ class _Forest:
             x = p
         return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+    def join(self, a: int, b: int) -> None:
+        self.up[max(a, b)] = min(a, b)
 
 
-def _pairs(rows: np.ndarray, window: int, most: int, fresh: int, forest: _Forest) -> list[tuple[int, int]]:
-    """Joining candidates among rows (group, id, root, sketch) at most ``window`` apart, one at ``fresh`` or after."""
+def _pairs(rows: np.ndarray, window: int, most: int, sure: int, fresh: int, forest: _Forest) -> list[tuple[int, int]]:
+    """Joining candidates among rows (group, id, root, sketch) at most ``window`` apart, one at ``fresh`` or after.
+
+    Sketches that differ in at most ``most`` bits are candidates; only those that differ in at most ``sure``,
+    as chance does not bring about, stand in for the candidates that they make needless.
+    """
     out, (group, ids, root), sketch = [], rows[:3], rows[3:].view(np.uint64)
     for off in range(1, min(window, rows.shape[1] - 1) + 1):
         lo = max(0, fresh - off)
         same = np.flatnonzero((group[lo:-off] == group[lo + off :]) & (root[lo:-off] != root[lo + off :])) + lo
         if len(same):
-            near = same[np.bitwise_count(sketch[:, same] ^ sketch[:, same + off]).sum(0, dtype=np.int64) <= most]
-            out += [(int(ids[i]), int(ids[i + off])) for i in near if forest.join(int(root[i]), int(root[i + off]))]
+            apart = np.bitwise_count(sketch[:, same] ^ sketch[:, same + off]).sum(0, dtype=np.int64)
+            for i, d in zip(same[apart <= most].tolist(), apart[apart <= most].tolist()):
+                a, b = forest.find(int(root[i])), forest.find(int(root[i + off]))
+                if a != b:
+                    out.append((int(ids[i]), int(ids[i + off])))
+                    if d <= sure:
+                        forest.join(a, b)
     return out
 
 
@@ -154,7 +160,7 @@ def _edge(rows: np.ndarray, border: int, place: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(r)) for r in rows[3:]]], _EDGES)
 
 
-def _windows(window: int, most: int):
+def _windows(window: int, most: int, sure: int):
     """Sorted rows -> joining candidates, and the first and last rows of the partition, for its borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +177,7 @@ def _windows(window: int, most: int):
                 head = rows[:, : window - seen]
                 yield _edge(head, part - 1, window + seen + np.arange(head.shape[1]))
             block = np.concatenate([tail, rows], axis=1)
-            found = _pairs(block, window, most, tail.shape[1], forest)
+            found = _pairs(block, window, most, sure, tail.shape[1], forest)
             if found:
                 ends = [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ends, *[pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), *[pa.int64()] * (2 + SKETCH))]], _EDGES)
@@ -183,11 +189,11 @@ def _windows(window: int, most: int):
     return run
 
 
-def _borders(window: int, most: int):
+def _borders(window: int, most: int, sure: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", kind="stable")
         rows = np.stack([pdf[c].to_numpy().astype(np.int64) for c in ("grp", "a", "root", *[f"s{k}" for k in range(SKETCH)])])
-        return pd.DataFrame(_pairs(rows, window, most, int((pdf.place < window).sum()), _Forest()), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_pairs(rows, window, most, sure, int((pdf.place < window).sum()), _Forest()), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -303,7 +309,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, window: int = 32,
     shared = max((float(v @ v) for v in middle.values()), default=0.0)
     angle = math.acos(max(0.2, (threshold - shared) / max(1e-9, 1 - shared)))
     share, bits = angle / math.pi, 64 * SKETCH
-    most = math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+    most, sure = math.ceil(bits * share + 2.5 * math.sqrt(bits * share * (1 - share))), math.floor(bits * share)
     wanted = passes_for(n, angle, window, recall)
 
     def rooted(roots: DataFrame | None) -> DataFrame:
@@ -319,8 +325,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, window: int = 32,
         parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n * turns // (4 * window)))
         keyed = rooted(roots).mapInArrow(_keys(range(done, done + turns), seed, middle), KEYED)
         ordered = keyed.repartitionByRange(parts, "turn", "dim", "key", "id").sortWithinPartitions("turn", "dim", "key", "id")
-        met = settle(ordered.mapInArrow(_windows(window, most), EDGES), "met")
-        across = met.filter("b is null and border >= 0").groupBy("border").applyInPandas(_borders(window, most), "a long, b long")
+        met = settle(ordered.mapInArrow(_windows(window, most, sure), EDGES), "met")
+        across = met.filter("b is null and border >= 0").groupBy("border").applyInPandas(_borders(window, most, sure), "a long, b long")
         pairs = met.filter("b is not null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         ends = [distinct.select(F.col("id").alias(c), F.col("vec").alias(f"vec_{c}")) for c in ("a", "b")]
         fresh = settle(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "vec_a", "vec_b").mapInArrow(_cosines(threshold), "a long, b long"), "pairs")
