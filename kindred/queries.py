@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.config import ACTIONS, Config
+from kindred.config import ACTIONS, BOX_FORMATS, Config
 from kindred.functions import hashing, normalize
 from kindred.operators import cascade, gate, memo, sinks, stats
 from kindred.operators.strategies import ALIASES, STRATEGIES
 from kindred.plans.dedup import keyed
-from kindred.sources.tables import mails_from_table
+from kindred.sources import mail
+from kindred.sources.tables import boxes_from_table, mails_from_table
 
 HEADERS = ("from", "to", "subject", "message-id")
 OFF = {"size_threshold": -1, "content_threshold": -1}
@@ -33,7 +34,7 @@ def _to() -> Column:
 
 
 def _subject() -> Column:
-    return F.concat(F.lit("Re: [list-1]  FW: "), F.substring("text", 1, 40))
+    return F.concat(F.lit("Re: [list-1]  FW: "), F.col("text"))
 
 
 def _message_id() -> Column:
@@ -47,24 +48,18 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mails_from_table(docs, F.col("source"), F.col("doc_id"), headers, body=F.col("text"), path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
 
-def by_prefix(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
-    """Documents keyed by how they start: exact and near copies share a set."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+def by_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as mails whose headers tell language and size class: exact copies share a set."""
+    text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("xx"))
+    headers = {
+        "From": F.concat(F.lit('"'), F.upper(lang), F.lit('  Desk"  <'), lang, F.lit("@list.org>")),
+        "To": F.concat(F.lit("<"), lang, F.lit("@list.org>")),
+        "Subject": F.concat(F.lit("Re: [list-1]  FW: "), lang),
+        "Message-ID": F.concat(F.lit("<"), F.floor(F.length(text) / 64).cast("string"), F.lit("@x>")),
+    }
     where = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return docs.select(
-        F.col("source").alias("source_path"),
-        F.col("doc_id").cast("string").alias("mail_id"),
-        where.alias("path"),
-        F.lit("table").alias("box_format"),
-        F.concat(F.lit("<table "), where, F.lit(">")).alias("repr"),
-        F.substring("text", 1, 40).alias("mail_hash"),
-        F.lit(None).cast("double").alias("timestamp"),
-        F.length("text").cast("long").alias("size"),
-        F.md5(F.col("text")).alias("body_hash"),
-        F.split("text", "\n", -1).alias("body_lines"),
-        F.lit(None).cast("string").alias("rejection"),
-        F.lit(False).alias("encoding_error"),
-    )
+    docs = mails_from_table(table(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"), headers, body=text, path=where, size=F.length(text))
+    return keyed(docs, Config(hash_headers=HEADERS), bits=256).drop("canonical_headers", "n_headers", "header_hash")
 
 
 def by_user(spark: SparkSession, sf_dir: str, nulls: int = 0) -> DataFrame:
@@ -87,7 +82,7 @@ def by_user(spark: SparkSession, sf_dir: str, nulls: int = 0) -> DataFrame:
     )
 
 
-def decided(spark: SparkSession, sf_dir: str, *strategies: str, front: Callable = by_prefix, regexp: str | None = None, **options: object) -> DataFrame:
+def decided(spark: SparkSession, sf_dir: str, *strategies: str, front: Callable = by_headers, regexp: str | None = None, **options: object) -> DataFrame:
     c = Config(strategies=strategies, regexp=regexp, **(OFF | options))
     return cascade.decide(front(spark, sf_dir), c)
 
@@ -106,7 +101,7 @@ def _keyed(*columns: str) -> Query:
 
 def _strategy(name: str) -> Query:
     kind = STRATEGIES[name].name
-    front = by_user if STRATEGIES[name].timed else by_prefix
+    front = by_user if STRATEGIES[name].timed else by_headers
     regexp = "src1/(en|fr)" if kind.endswith("path") else None
     return lambda s, d: decided(s, d, name, front=front, regexp=regexp).select("mail_id", "decision")
 
@@ -117,7 +112,7 @@ def _cascade(*strategies: str, nulls: int = 0) -> Query:
 
 
 def _flagship(s: SparkSession, d: str) -> DataFrame:
-    return decided(s, d, "select-newest", "select-biggest", "select-one", front=by_prefix, size_threshold=512)
+    return decided(s, d, "select-newest", "select-biggest", "select-one", front=by_headers, size_threshold=32)
 
 
 def _memo(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -152,10 +147,23 @@ def _action(action: str) -> Query:
     return run
 
 
+def _scan(box_format: str) -> Query:
+    """Documents written as mail boxes, one a source, then listed, opened and parsed as any mail is."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        docs = table(s, d, "documents").select(F.coalesce("source", F.lit("none")).alias("box"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        root = boxes_from_table(docs, box_format)
+        rows = keyed(mail.parse(mail.list_mails(s, sorted(root), box_format)), Config(hash_headers=("date", "from", "subject", "message-id"), hash_body="normalized"), bits=256)
+        headers = F.element_at(F.filter("canonical_headers", lambda h: h["id"] == "message-id"), 1)["value"]
+        return rows.select(F.element_at(F.split("source_path", "/"), -1).alias("box"), F.regexp_extract(headers, "^[0-9]+", 0).cast("long").alias("doc_id"), F.col("timestamp").cast("long").alias("sent"), "n_headers", "size", F.substring("mail_hash", 65, 64).alias("body_hash"), "rejection")
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "flagship_dedup": lambda s, d: _flagship(s, d).select("mail_id", "decision", "set_outcome", "evicted"),
     "scan_counts_by_source": lambda s, d: table(s, d, "documents").groupBy(F.col("source").alias("source_path")).agg(F.count("*").alias("found")),
-    "norm_whitespace": _doc_columns(lambda: normalize.collapse(F.substring("text", 1, 300))),
+    "norm_whitespace": _doc_columns(lambda: normalize.collapse(F.col("text"))),
     "norm_subject": _doc_columns(lambda: normalize.normalize("subject", _subject())),
     "norm_content_type": _doc_columns(lambda: normalize.normalize("content-type", F.concat(F.lit("text/plain ; charset="), "lang"))),
     "norm_address": _doc_columns(lambda: normalize.normalize("from", _from())),
@@ -168,7 +176,7 @@ QUERIES: dict[str, Query] = {
     "body_hash_raw": _keyed("body_hash", "size"),
     "body_hash_normalized": lambda s, d: mails(s, d).select(F.col("mail_id").cast("long").alias("doc_id"), hashing.normalized_body(F.col("body_lines"), 256).alias("body_hash")),
     "reject_min_headers": _keyed("rejection"),
-    "group_duplicates": lambda s, d: by_prefix(s, d).groupBy("mail_hash").agg(F.count("*").alias("n")).filter("n > 1"),
+    "group_duplicates": lambda s, d: by_headers(s, d).groupBy("mail_hash").agg(F.count("*").alias("n")).filter("n > 1"),
     "unique_rows": lambda s, d: decided(s, d).filter("decision = 'unique'").select("mail_id"),
     "set_aggregates": lambda s, d: cascade.sets(decided(s, d, "select-oldest", front=by_user)).select("mail_hash", "n", "oldest", "newest", "smallest", "biggest", "bodies"),
     "distinct_bodies": lambda s, d: cascade.sets(decided(s, d)).select("mail_hash", "n", "bodies"),
@@ -176,24 +184,24 @@ QUERIES: dict[str, Query] = {
     "cascade_exhausted": _cascade("select-smaller", "select-bigger"),
     "cascade_null_timestamp": _cascade("select-older", "select-oldest", nulls=9),
     "cascade_null_then_size": _cascade("select-older", "select-biggest", nulls=9),
-    "gate_fast_path": lambda s, d: gate.contested(by_prefix(s, d), 512, 768).select("mail_id", "contested"),
-    "gate_size_pairs": lambda s, d: decided(s, d, "select-one", size_threshold=512).select("mail_id", "evicted", "set_outcome"),
-    "gate_evict_outliers": lambda s, d: decided(s, d, "select-biggest", "select-one", size_threshold=100).select("mail_id", "evicted", "decision"),
-    "gate_content_diff": lambda s, d: decided(s, d, "select-one", size_threshold=512, content_threshold=768).select("mail_id", "evicted", "set_outcome"),
+    "gate_fast_path": lambda s, d: gate.contested(by_headers(s, d), 32, 768).select("mail_id", "contested"),
+    "gate_size_pairs": lambda s, d: decided(s, d, "select-one", size_threshold=16).select("mail_id", "evicted", "set_outcome"),
+    "gate_evict_outliers": lambda s, d: decided(s, d, "select-biggest", "select-one", size_threshold=8).select("mail_id", "evicted", "decision"),
+    "gate_content_diff": lambda s, d: decided(s, d, "select-one", size_threshold=32, content_threshold=768).select("mail_id", "evicted", "set_outcome"),
     "cache_hits": _memo_query("hits"),
     "cache_misses": _memo_query("misses"),
     "cache_prune_mails": _memo_query("prune_mails"),
     "cache_next_version": _memo_query("next"),
     "link_targets": lambda s, d: decided(s, d, "select-biggest", "select-one").filter("decision = 'discarded'").select("mail_id", F.col("link_target.path").alias("target")),
     "stats_report": lambda s, d: stats.report(stats.stats(decided(s, d, "select-biggest", "select-one"), "copy")).select("category", "metric", "value"),
-} | {s.replace("-", "_"): _strategy(s) for s in STRATEGIES} | {f"action_{a.replace('-', '_')}": _action(a) for a in ACTIONS}
+} | {s.replace("-", "_"): _strategy(s) for s in STRATEGIES} | {f"action_{a.replace('-', '_')}": _action(a) for a in ACTIONS} | {f"scan_{f}": _scan(f) for f in BOX_FORMATS}
 
 # SQL of the same, for DuckDB.
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _PREFIXES = r"(?i)^(?:(?:re|fwd?):\x20+|\[[\p{L}\p{N}_][\p{L}\p{N}_-]*[\p{L}\p{N}_]?\]\x20+)+"
 _FROM = """('"' || upper(lang) || '  Desk"  <' || lang || '@' || source || '.org>')"""
 _TO = "(CASE WHEN doc_id % 5 <> 0 THEN '<' || source || '@list.org>' END)"
-_SUBJECT = "('Re: [list-1]  FW: ' || substring(text, 1, 40))"
+_SUBJECT = "('Re: [list-1]  FW: ' || text)"
 _ID = "(CASE WHEN doc_id % 7 <> 0 THEN '<' || CAST(doc_id % 97 AS VARCHAR) || '@x>' END)"
 _STRIP = "regexp_replace({0}, '^<([^<>,]+)>$', '\\1')"
 
@@ -208,7 +216,10 @@ _N_SUBJECT = f"regexp_replace({_C(_SUBJECT)}, '{_PREFIXES}', '')"
 _N_ID = _STRIP.format(_C(_ID))
 _LINES = f"""concat_ws(chr(10), 'from: ' || {_N_FROM}, 'to: ' || {_N_TO}, 'subject: ' || {_N_SUBJECT}, 'message-id: ' || {_N_ID})"""
 _N = f"(CASE WHEN {_TO} IS NULL THEN 0 ELSE 1 END + CASE WHEN {_ID} IS NULL THEN 0 ELSE 1 END + 2)"
-_DOCS = "SELECT CAST(doc_id AS VARCHAR) AS mail_id, source AS source_path, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, substring(text, 1, 40) AS mail_hash, CAST(NULL AS DOUBLE) AS ts, length(text) AS size, md5(text) AS body FROM documents WHERE text IS NOT NULL"
+_LANG = "coalesce(lang, 'xx')"
+_SET_FROM = f"""('"' || upper({_LANG}) || '  Desk"  <' || {_LANG} || '@list.org>')"""
+_SET_LINES = f"""concat_ws(chr(10), 'from: ' || {_STRIP.format(_C(f"replace({_C(_SET_FROM)}, '" + '"' + "', '')"))}, 'to: ' || {_LANG} || '@list.org', 'subject: ' || {_LANG}, 'message-id: ' || CAST(length(coalesce(text, '')) // 64 AS VARCHAR) || '@x')"""
+_DOCS = f"SELECT CAST(doc_id AS VARCHAR) AS mail_id, source AS source_path, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, sha256({_SET_LINES}) AS mail_hash, CAST(NULL AS DOUBLE) AS ts, length(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS body FROM documents"
 
 
 def _events(nulls: int = 0) -> str:
@@ -276,7 +287,7 @@ def _report_sql() -> str:
 
 SQL: dict[str, str] = {
     "scan_counts_by_source": "SELECT source AS source_path, count(*) AS found FROM documents GROUP BY source",
-    "norm_whitespace": f"SELECT doc_id, {_C('substring(text, 1, 300)')} AS v FROM documents",
+    "norm_whitespace": f"SELECT doc_id, {_C('text')} AS v FROM documents",
     "norm_subject": f"SELECT doc_id, {_N_SUBJECT} AS v FROM documents",
     "norm_content_type": "SELECT doc_id, 'text/plain ' AS v FROM documents",
     "norm_address": f"SELECT doc_id, {_N_FROM} AS v FROM documents",
@@ -288,7 +299,7 @@ SQL: dict[str, str] = {
     "body_hash_raw": "SELECT doc_id, sha256(text) AS body_hash, CAST(length(replace(text, chr(10), '')) AS BIGINT) AS size FROM documents",
     "body_hash_normalized": f"SELECT doc_id, sha256(regexp_replace(text, '{_WS}', '', 'g')) AS body_hash FROM documents",
     "reject_min_headers": f"SELECT doc_id, CASE WHEN {_N} < 4 THEN CAST({_N} AS VARCHAR) || ' headers found out of 4.' END AS rejection FROM documents",
-    "group_duplicates": "SELECT substring(text, 1, 40) AS mail_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "group_duplicates": f"SELECT mail_hash, count(*) AS n FROM ({_DOCS}) GROUP BY 1 HAVING count(*) > 1",
     "unique_rows": f"{_decide(_DOCS)} SELECT mail_id FROM decided WHERE decision = 'unique'",
     "set_aggregates": f"SELECT mail_hash, count(*) AS n, min(ts) AS oldest, max(ts) AS newest, min(size) AS smallest, max(size) AS biggest, count(DISTINCT body) AS bodies FROM ({_events()}) GROUP BY mail_hash",
     "distinct_bodies": f"SELECT mail_hash, count(*) AS n, count(DISTINCT body) AS bodies FROM ({_DOCS}) GROUP BY mail_hash",
@@ -296,7 +307,7 @@ SQL: dict[str, str] = {
     "cascade_exhausted": f"{_decide(_events(), 'select-smaller', 'select-bigger')} SELECT mail_id, decision, strategy, set_outcome FROM decided",
     "cascade_null_timestamp": f"{_decide(_events(9), 'select-older', 'select-oldest')} SELECT mail_id, decision, strategy, set_outcome FROM decided",
     "cascade_null_then_size": f"{_decide(_events(9), 'select-older', 'select-biggest')} SELECT mail_id, decision, strategy, set_outcome FROM decided",
-    "gate_fast_path": f"SELECT mail_id, count(*) OVER w > 1 AND NOT (max(size) OVER w - min(size) OVER w <= 512 AND min(body) OVER w = max(body) OVER w) AS contested FROM ({_DOCS}) WINDOW w AS (PARTITION BY mail_hash)",
+    "gate_fast_path": f"SELECT mail_id, count(*) OVER w > 1 AND NOT (max(size) OVER w - min(size) OVER w <= 32 AND min(body) OVER w = max(body) OVER w) AS contested FROM ({_DOCS}) WINDOW w AS (PARTITION BY mail_hash)",
     "cache_hits": f"WITH {_NOW}, {_OLD} SELECT source_path, mail_id, mail_hash FROM now JOIN old USING (source_path, mail_id, file_size, mtime_ns)",
     "cache_misses": f"WITH {_NOW}, {_OLD} SELECT source_path, mail_id FROM ({_MISSES})",
     "cache_prune_mails": f"WITH {_NOW}, {_OLD} SELECT source_path, mail_id FROM old WHERE source_path IN (SELECT source_path FROM now) AND (source_path, mail_id) NOT IN (SELECT (source_path, mail_id) FROM now)",
@@ -306,5 +317,15 @@ SQL: dict[str, str] = {
 } | {s.replace("-", "_"): f"{_decide(_events() if STRATEGIES[s].timed else _DOCS, s)} SELECT mail_id, decision FROM decided" for s in [*_SQL_KEEP, *ALIASES]} | {f"action_{a.replace('-', '_')}": _action_sql(a) for a in ACTIONS}
 
 
+def _scan_sql(box_format: str) -> str:
+    text = "coalesce(text, '')"
+    if box_format in ("mbox", "mmdf"):  # lines that look like a new mail are quoted in such boxes
+        text = f"substr(replace(chr(10) || {text}, chr(10) || 'From ', chr(10) || '>From '), 2)"
+    return f"SELECT coalesce(source, 'none') AS box, doc_id, 1000000000 + 3600 * doc_id AS sent, CAST(4 AS INTEGER) AS n_headers, CAST(length(replace({text}, chr(10), '')) AS BIGINT) AS size, sha256(regexp_replace({text}, '{_WS}', '', 'g')) AS body_hash, CAST(NULL AS VARCHAR) AS rejection FROM documents"
+
+
+SQL |= {f"scan_{f}": _scan_sql(f) for f in BOX_FORMATS}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagship(spark, sf_dir)

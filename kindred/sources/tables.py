@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import email.utils
+import os
+import uuid
 from collections.abc import Mapping
+from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.settle import shared_dir
+from kindred.sources import boxes
+
 
 def mails_from_table(
     df: DataFrame,
@@ -38,3 +46,26 @@ def mails_from_table(
         *([] if size is None else [size.cast("long").alias("size")]),
     )
     return out
+
+
+def boxes_from_table(rows: DataFrame, box_format: str) -> list[str]:
+    """Write ``rows`` (box, doc_id, text) as mail boxes in the shared folder, one task a box; returns their paths.
+
+    A box is written beside its place and renamed, so a task that runs again does no harm.
+    """
+    root = os.path.join(urlparse(shared_dir(rows.sparkSession)).path, f"boxes-{uuid.uuid4().hex}")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(root, exist_ok=True)
+        path, draft = os.path.join(root, pdf.box.iloc[0]), os.path.join(root, f".{uuid.uuid4().hex}")
+        box = boxes.open_box(draft, box_format, create=True)
+        for i, text in zip(pdf.doc_id, pdf.text):
+            head = f"Message-ID: <{i}@table>\nFrom: table@list.org\nSubject: document {i}\nDate: {email.utils.formatdate(1_000_000_000 + 3600 * int(i))}\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\n\n"
+            box.add((head + text).encode())
+        box.flush()
+        box.close()
+        if not os.path.exists(path):
+            os.rename(draft, path)
+        return pd.DataFrame({"path": [path]})
+
+    return [r.path for r in rows.groupBy("box").applyInPandas(write, "path string").collect()]  # one row a box

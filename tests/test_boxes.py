@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from kindred import schema
 from kindred.config import ACTIONS, BOX_FORMATS, FOLDER_FORMATS, Config
 from kindred.operators import sinks
 from kindred.plans.dedup import Dedup, hash_only
@@ -73,7 +74,7 @@ def test_hardlink_refusals(spark, tmp_path):
     packed = box(tmp_path / "box", "mbox", [A, A])
     d, s = run(spark, [packed], strategies=("select-one",), action="hardlink-discarded")
     assert s["mail_hardlink_skipped"] == 1 and "no file of their own" in next(iter(d.done["reasons"]))
-    assert "can't be read" in sinks.link_blocker(str(tmp_path / "gone"), "eml", str(tmp_path / "gone2"), False)
+    assert sinks.look(str(tmp_path / "gone"), str(tmp_path / "gone2"), True)[3] == "No such file or directory"
 
 
 def test_time_family(spark, tmp_path):
@@ -188,3 +189,27 @@ def test_maildir_flags_survive_a_copy(spark, tmp_path):
     b.add(m)
     run(spark, [str(tmp_path / "in")], action="copy-selected", export=str(tmp_path / "out"), export_format="maildir")
     assert [x.get_flags() for x in mailbox.Maildir(str(tmp_path / "out"), create=False)] == ["FS"]
+
+
+def test_a_deletion_that_runs_again_deletes_nothing_more(spark, tmp_path):
+    """A task that is retried after it is done finds the note that says so; a box that changed is left alone."""
+    path = tmp_path / "box"
+    box = mailbox.mbox(str(path))
+    for i in range(4):
+        box.add(f"Subject: {i}\n\nbody {i}\n")
+    box.close()
+    listed = mail.list_mails(spark, [path]).filter("mail_id in ('0', '2')").collect()
+    rows = spark.createDataFrame(listed, schema.LISTING)
+    subjects = lambda: [m["Subject"] for m in mailbox.mbox(str(path))]
+    notes = []
+    unlink = sinks.os.unlink
+    try:
+        sinks.os.unlink = lambda p: notes.append(p) if sinks.NOTE_PREFIX in str(p) else unlink(p)
+        assert sinks.delete(rows) == 2 and subjects() == ["1", "3"]
+        assert sinks.delete(rows) == 2 and subjects() == ["1", "3"]
+    finally:
+        sinks.os.unlink = unlink
+    unlink(notes[0])
+    with pytest.raises(Exception, match="has changed since it was listed"):
+        sinks.delete(rows)
+    assert subjects() == ["1", "3"]
