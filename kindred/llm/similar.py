@@ -29,10 +29,10 @@ from kindred.llm.store import discard, settle
 
 #: Rows that meet at a variant and are compared pair by pair at once.
 CROWD = 16
-#: Pairs for each text that a step of the crowded variants may verify.
-PAIRS = 20
+#: Pairs for each text that a step may make of the crowded variants; most of them are the same pairs again.
+PAIRS = 100
 #: Blocks of the first pass, which joins most of what is alike, and of each pass after it.
-FIRST, PASS = 3, 6
+FIRST, PASS = 4, 11
 LANES = U(0x0101010101010101)
 SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
@@ -151,13 +151,16 @@ def _verify(width: int, least: float):
 
 
 def _meet(most: int, crowd: int):
-    """(variant, id, root, check) sorted by variant and id -> pairs (a, b) to verify, and members (variant, id) of crowded variants."""
+    """(variant, id, root, check) sorted by variant and id -> pairs (a, b) to verify, and members (variant, id, check) of crowded variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = ["a", "b", "variant", "id"]
+        kinds = ["a", "b", "variant", "id", "check"]
 
-        def batch(a, b, variant, ids) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, variant, ids)], kinds)
+        def paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 3], kinds)
+
+        def members(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.nulls(rows.shape[1], pa.int64())] * 2, *[pa.array(np.ascontiguousarray(rows[k])) for k in (0, 1, 3)]], kinds)
 
         def close(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             v, i, r, c = rows
@@ -169,11 +172,9 @@ def _meet(most: int, crowd: int):
                 same = np.flatnonzero((v[off:] == v[:-off]) & (r[off:] != r[:-off]) & ~dense[off:])
                 near = same[np.bitwise_count((c[same] ^ c[same + off]).view(np.uint64)) <= most]
                 if len(near):
-                    none = pa.nulls(len(near), pa.int64())
-                    yield batch(i[near], i[near + off], none, none)
+                    yield paired(i[near], i[near + off])
             if dense.any():
-                none = pa.nulls(int(dense.sum()), pa.int64())
-                yield batch(none, none, v[dense], i[dense])
+                yield members(rows[:, dense])
 
         held, going = np.empty((4, 0), np.int64), None
         for b in batches:
@@ -183,9 +184,7 @@ def _meet(most: int, crowd: int):
             last = rows[0, -1]
             if going is not None:
                 # A crowded variant that goes on: its members pass through and are not kept.
-                more = rows[:, rows[0] == going]
-                none = pa.nulls(more.shape[1], pa.int64())
-                yield batch(none, none, more[0], more[1])
+                yield members(rows[:, rows[0] == going])
                 rows = rows[:, rows[0] != going]
                 if last == going:
                     held = rows
@@ -195,8 +194,7 @@ def _meet(most: int, crowd: int):
             held = rows[:, ~whole]
             yield from close(rows[:, whole])
             if held.shape[1] > crowd:
-                none = pa.nulls(held.shape[1], pa.int64())
-                yield batch(none, none, held[0], held[1])
+                yield members(held)
                 held, going = np.empty((4, 0), np.int64), last
         yield from close(held)
 
@@ -264,26 +262,31 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
         blocks = range(at, min(plan.blocks, at + (PASS if at else FIRST)))
         at = blocks.stop
         rows = _variants(rooted(nodes.select("id", "words")), plan, blocks).repartition("variant").sortWithinPartitions("variant", "id")
-        met = settle(rows.mapInArrow(_meet(plan.most, CROWD), "a long, b long, variant long, id long"), "met")
+        met = settle(rows.mapInArrow(_meet(plan.most, CROWD), "a long, b long, variant long, id long, check long"), "met")
         pairs = met.filter("a is not null").select("a", "b")
-        if pairs.limit(1).count():
-            join(verified(pairs))
-        left = met.filter("variant is not null").select("variant", "id")
-        while left.limit(1).count():
-            # Variants whose members are all in one component are done.
-            here = rooted(left)
-            open_ = here.groupBy("variant").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-            here = settle(here.join(open_.select("variant", "hub", "n"), "variant"), "crowded")
-            wanted = here.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-            if not wanted:
-                break
-            if wanted <= limit:
-                a, b = here.select("variant", F.col("id").alias("a"), F.col("root").alias("ra")), here.select("variant", F.col("id").alias("b"), F.col("root").alias("rb"))
-                join(verified(a.join(b, "variant").filter("a < b and ra != rb").select("a", "b")))
+        left = met.filter("variant is not null").select("variant", "id", "check")
+        crowded, pending, last = bool(left.limit(1).count()), bool(pairs.limit(1).count()), False
+        while crowded or pending:
+            wanted = 0
+            if crowded:
+                # Variants whose members are all in one component are done.
+                per = rooted(left).groupBy("variant", "root").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+                open_ = per.groupBy("variant").agg(F.min("least").alias("hub"), F.count("*").alias("roots"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).filter("roots > 1")
+                here = settle(rooted(left).join(open_.select("variant", "hub", "across"), "variant"), "crowded")
+                wanted = here.filter("id = hub").agg(F.sum("across")).first()[0] or 0
+                near = F.bit_count(F.col("check").bitwiseXOR(F.col("other"))) <= plan.most
+                last = wanted <= limit
+                if last:
+                    a, b = here.select("variant", F.col("id").alias("a"), "check", F.col("root").alias("ra")), here.select("variant", F.col("id").alias("b"), F.col("check").alias("other"), F.col("root").alias("rb"))
+                    found = a.join(b, "variant").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b")
+                else:
+                    hub = here.filter("id = hub").select("variant", F.col("check").alias("other"), F.col("root").alias("hub_root"))
+                    found = here.join(hub, "variant").filter((F.col("root") != F.col("hub_root")) & near).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+                    left = here.filter("id != hub").select("variant", "id", "check")
+            if not wanted and not pending:
                 break
-            hub = here.filter("id = hub").select("variant", F.col("root").alias("hub_root"))
-            join(verified(here.join(hub, "variant").filter("id != hub and root != hub_root").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
-            left = here.filter("id != hub").select("variant", "id")
+            join(verified(found.unionByName(pairs) if wanted and pending else found if wanted else pairs))
+            pending, crowded = False, crowded and not last
         discard(met)
     return rooted(nodes.select("key", "id")).select(F.col("key").alias("text_key"), "root")
 
