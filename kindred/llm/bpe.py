@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of what a worker remembers: steps of the transducer, and whole pieces with their tokens.
-MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 100_000, 300_000, 300_000, 64
+MOST_STEPS, MOST_WORDS, MOST_PAIRS, LONGEST_WORD = 200_000, 900_000, 400_000, 64
 
 
 def load_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -273,6 +273,13 @@ def _loaded(kind: type, vocabulary: str, *more):
     return _LOADED[key]
 
 
+def release() -> None:
+    """Let go of the machines that this worker keeps, where a step that does not encode follows in it."""
+    _LOADED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _bounded(b: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
     """Small batches, so that a batch of long texts stays small too."""
     for i in range(0, b.num_rows, most):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.bpe import release
 from kindred.llm.components import components
 from kindred.llm.rolling import PART, Sums, U, mix, word_hashes, word_parts
 from kindred.llm.simhash import LOWER
@@ -116,6 +117,7 @@ def _signed(width: int, words: int):
     """(id, text) -> (id, fingerprint words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             done = [fingerprints(*shingle_sets(part, width), words) for part in _folded(b.column(1))]
             flat = np.concatenate([np.empty(0, U), *[d.reshape(-1) for d in done]]).view(np.int64)
