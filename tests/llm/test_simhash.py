@@ -70,11 +70,31 @@ def test_documents(spark):
         assert x.fp % (1 << 64) == fps[x.doc_id] and x.component_id == least[want[fps[x.doc_id]]]
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 3])
+def test_components_of_a_chain_and_a_star(spark, one_task):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
-    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [1_000_000, 50])
+def test_components_of_random_links(spark, one_task):
+    r = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in r.integers(-200, 200, (330, 2))]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            up[hi] = lo
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task=one_task).collect()
+    assert {x.node: x.root for x in got} == {x: find(x) for x in up} and len(got) == len(up)
 
 
 def test_extra_columns_and_empty(spark):
