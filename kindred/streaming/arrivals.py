@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +26,12 @@ def remember(spark: SparkSession, parsed_stream: DataFrame, config: Config, tabl
     def merge(batch: DataFrame, _: int) -> None:
         fresh = keyed(batch, config).filter("rejection is null").groupBy("mail_hash").agg(F.min("path").alias("path"))
         try:
-            fresh = fresh.join(spark.read.parquet(table).select("mail_hash"), "mail_hash", "left_anti")
-        except Exception:
-            pass  # the first batch finds no table
+            seen = spark.read.schema(fresh.schema).parquet(table)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no table
+                raise
+        else:
+            fresh = fresh.join(seen.select("mail_hash"), "mail_hash", "left_anti")
         fresh.write.mode("append").parquet(table)
 
     return parsed_stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

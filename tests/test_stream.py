@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from kindred.config import Config
@@ -30,3 +32,13 @@ def test_remember(spark, tmp_path):
         drop(spark, folder, ids, at)
         remember(spark, spark.readStream.schema(SCHEMA).parquet(folder), CONFIG, table, str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(table).count() == 3
+
+
+def test_remember_does_not_take_a_failing_read_for_a_missing_table(spark, tmp_path):
+    folder, table = str(tmp_path / "in"), tmp_path / "keys"
+    drop(spark, folder, ["a"], 1)
+    table.mkdir()
+    (table / "part-0.parquet").write_bytes(b"not Parquet")
+    with pytest.raises(StreamingQueryException):
+        remember(spark, spark.readStream.schema(SCHEMA).parquet(folder), CONFIG, str(table), str(tmp_path / "c")).awaitTermination()
+    assert [f.name for f in table.iterdir() if f.suffix == ".parquet"] == ["part-0.parquet"]
