@@ -252,7 +252,9 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
-        roots = settle(components(every), "roots")
+        before, roots = roots, settle(components(every), "roots")
+        if before is not None:
+            discard(before)
 
     def rooted(rows: DataFrame) -> DataFrame:
         if roots is None:
@@ -267,14 +269,16 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
         met = settle(rows.mapInArrow(_meet(plan.most, CROWD), "a long, b long, variant long, id long, check long"), "met")
         pairs = met.filter("a is not null").select("a", "b")
         left = met.filter("variant is not null").select("variant", "id", "check")
-        crowded, pending, last = bool(left.limit(1).count()), bool(pairs.limit(1).count()), False
+        crowded, pending, last, here = bool(left.limit(1).count()), bool(pairs.limit(1).count()), False, None
         while crowded or pending:
             wanted = 0
             if crowded:
                 # Variants whose members are all in one component are done.
                 per = rooted(left).groupBy("variant", "root").agg(F.count("*").alias("n"), F.min("id").alias("least"))
                 open_ = per.groupBy("variant").agg(F.min("least").alias("hub"), F.count("*").alias("roots"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).filter("roots > 1")
-                here = settle(rooted(left).join(open_.select("variant", "hub", "across"), "variant"), "crowded")
+                before, here = here, settle(rooted(left).join(open_.select("variant", "hub", "across"), "variant"), "crowded")
+                if before is not None:
+                    discard(before)
                 wanted = here.filter("id = hub").agg(F.sum("across")).first()[0] or 0
                 near = F.bit_count(F.col("check").bitwiseXOR(F.col("other"))) <= plan.most
                 last = wanted <= limit
@@ -289,7 +293,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
                 break
             join(verified(found.unionByName(pairs) if wanted and pending else found if wanted else pairs))
             pending, crowded = False, crowded and not last
-        discard(met)
+        discard(met, *[here] * (here is not None))
     return rooted(nodes.select("key", "id")).select(F.col("key").alias("text_key"), "root")
 
 
