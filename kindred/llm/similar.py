@@ -8,8 +8,9 @@ variant, and colliding pairs are verified, by 64 bits of another block first and
 There are as many blocks as bring a pair at ``least`` together with probability ``recall``; as they grow with
 the number of texts, chance meetings do not. Blocks are taken in passes, so that the variants of a few blocks
 are on disk at a time, and what a pass has joined is not compared again. Where more meet at a variant
-than can be compared pair by pair, all are compared to the least of them first, and only those that
-are still apart after that to one another.
+than can be compared pair by pair, all are compared to the middle of them first, and only those that
+are still apart after that to one another. Pairs that can't be similar, because too many shingles of one
+are in no other candidate, are never made; this bound is exact and loses no pair.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.bpe import release
@@ -135,19 +136,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verify(width: int, least: float):
-    """(a, b, text of a, text of b), in order of a -> the pairs (a, b) that are similar."""
+def _sets(width: int):
+    """(id, text) -> (id, shingles): the sorted hashes of a text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [shingle_sets(part, width) for part in _folded(b.column(1))]
+            flat = np.concatenate([np.empty(0, U), *[h for h, _ in done]]).view(np.int64)
+            ends = np.cumsum(np.concatenate([[0], *[n for _, n in done]]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "shingles"])
+
+    return run
+
+
+def _verify(least: float):
+    """(a, b, shingles of a, shingles of b) -> the pairs (a, b) that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, left = None, None
         for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if a != held:
-                    held, left = a, shingle_sets([ta.as_buffer().to_pybytes().translate(LOWER)], width)[0]
-                if similarity(left, shingle_sets([tb.as_buffer().to_pybytes().translate(LOWER)], width)[0]) >= least:
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            sets = []
+            for c in (batch.column(2), batch.column(3)):
+                values, ends = c.values.to_numpy(), c.offsets.to_numpy()
+                sets.append([values[i:j] for i, j in zip(ends[:-1], ends[1:])])
+            same = pa.array([similarity(x, y) >= least for x, y in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(same) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -233,15 +245,27 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
     links: list[DataFrame] = []
     roots = None
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def facts(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, shingles) and (id, size, lone) of the texts ``ids``; lone shingles are in no other text of ``ids``."""
+        keys = nodes.join(ids, "id").select("id", "key")
+        texts = keyed.join(keys, "key").groupBy("id").agg(F.first("text").alias("text"))
+        sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+        alone = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1")
+        alone = alone.groupBy("id").agg(F.count("*").alias("lone"))
+        sized = sets.select("id", F.size("shingles").alias("size")).join(alone, "id", "left")
+        return sets, settle(sized.select("id", "size", F.coalesce("lone", F.lit(0)).alias("lone")), "sizes")
+
+    def fit(a: str, b: str) -> Column:
+        """Whether two texts can be similar: they share no lone shingle, so at most the others of either."""
+        most = F.least(F.col(f"size{a}") - F.col(f"lone{a}"), F.col(f"size{b}") - F.col(f"lone{b}"))
+        return (1 + least) * most >= least * (F.col(f"size{a}") + F.col(f"size{b}")) - 1e-6
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = settle(pairs.distinct(), "candidates")
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        keys = nodes.join(ends, "id").select("id", "key")
-        texts = settle(keyed.join(keys, "key").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        out = settle(both.repartition("a", "b").sortWithinPartitions("a").mapInArrow(_verify(width, least), "a long, b long"), "similar")
-        discard(texts, pairs)
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+        out = settle(both.mapInArrow(_verify(least), "a long, b long"), "similar")
+        discard(pairs)
         return out
 
     def join(found: DataFrame) -> None:
@@ -269,31 +293,49 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
         met = settle(rows.mapInArrow(_meet(plan.most, CROWD), "a long, b long, variant long, id long, check long"), "met")
         pairs = met.filter("a is not null").select("a", "b")
         left = met.filter("variant is not null").select("variant", "id", "check")
-        crowded, pending, last, here = bool(left.limit(1).count()), bool(pairs.limit(1).count()), False, None
+        crowded, pending, here = bool(left.limit(1).count()), bool(pairs.limit(1).count()), None
+        # The first pass joins most copies by stars; after it few pairs are left.
+        starred = roots is not None
+        made = [met]
+        if crowded:
+            # Variants whose members are all in one component are done.
+            open_ = rooted(left).groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+            left = settle(left.join(open_.select("variant"), "variant"), "open")
+            made.append(left)
+        if crowded or pending:
+            ids = left.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            sets, sizes = facts(ids)
+            made += [sets, sizes]
+            ends = [sizes.select(F.col("id").alias(e), F.col("size").alias(f"size{e}"), F.col("lone").alias(f"lone{e}")) for e in "ab"]
+            pairs = pairs.distinct().join(ends[0], "a").join(ends[1], "b").filter(fit("a", "b")).select("a", "b")
+            # A text of too many lone shingles is similar to none of the others.
+            left = left.join(sizes, "id").filter((F.col("size") - F.col("lone")) >= least * F.col("size") - 1e-6)
         while crowded or pending:
             wanted = 0
             if crowded:
-                # Variants whose members are all in one component are done.
-                per = rooted(left).groupBy("variant", "root").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-                open_ = per.groupBy("variant").agg(F.min("least").alias("hub"), F.count("*").alias("roots"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).filter("roots > 1")
-                before, here = here, settle(rooted(left).join(open_.select("variant", "hub", "across"), "variant"), "crowded")
+                per = rooted(left).groupBy("variant", "root").agg(F.count("*").alias("n"), F.min(F.struct((F.col("lone") / F.greatest("size", F.lit(1))).alias("share"), "id")).alias("least"))
+                across = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")
+                open_ = per.groupBy("variant").agg(F.min("least").alias("hub"), F.count("*").alias("roots"), across).filter("roots > 1")
+                before, here = here, settle(rooted(left).join(open_.select("variant", F.col("hub.id").alias("hub"), "across"), "variant"), "crowded")
                 if before is not None:
                     discard(before)
                 wanted = here.filter("id = hub").agg(F.sum("across")).first()[0] or 0
-                near = F.bit_count(F.col("check").bitwiseXOR(F.col("other"))) <= plan.most
-                last = wanted <= limit
-                if last:
-                    a, b = here.select("variant", F.col("id").alias("a"), "check", F.col("root").alias("ra")), here.select("variant", F.col("id").alias("b"), F.col("check").alias("other"), F.col("root").alias("rb"))
-                    found = a.join(b, "variant").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b")
+                ab = [here.select("variant", *[F.col(c).alias(f"{c}{e}") for c in ("id", "check", "root", "size", "lone", "hub")]) for e in "ab"]
+                near = (F.bit_count(F.col("checka").bitwiseXOR(F.col("checkb"))) <= plan.most) & (F.col("roota") != F.col("rootb")) & fit("a", "b")
+                crowded = wanted > limit or not starred
+                if crowded:
+                    # All members are compared to the one of the least share of lone shingles, the middle of its copies.
+                    found = ab[0].filter("ida = huba").join(ab[1], "variant").filter(near)
+                    left = here.filter("id != hub").select("variant", "id", "check", "size", "lone") if starred else left
+                    starred = True
                 else:
-                    hub = here.filter("id = hub").select("variant", F.col("check").alias("other"), F.col("root").alias("hub_root"))
-                    found = here.join(hub, "variant").filter((F.col("root") != F.col("hub_root")) & near).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-                    left = here.filter("id != hub").select("variant", "id", "check")
+                    found = ab[0].join(ab[1], "variant").filter((F.col("ida") < F.col("idb")) & near)
+                found = found.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
             if not wanted and not pending:
                 break
-            join(verified(found.unionByName(pairs) if wanted and pending else found if wanted else pairs))
-            pending, crowded = False, crowded and not last
-        discard(met, *[here] * (here is not None))
+            join(verified(found.unionByName(pairs) if wanted and pending else found if wanted else pairs, sets))
+            pending = False
+        discard(*made, *[here] * (here is not None))
     return rooted(nodes.select("key", "id")).select(F.col("key").alias("text_key"), "root")
 
 
