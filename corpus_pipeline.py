@@ -38,7 +38,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     share their fate; texts of any length are read whole. An empty table stays empty.
     """
     rows, back = _aside(docs)
-    return back(quality.judge(rows).filter("quality.kept"))
+    # A settled copy of the texts would lie on disk for as long as this table can be read, so through all later stages.
+    return back(quality.judge(rows, settled=False).filter("quality.kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("_key", similar.text_key(F.col("text")))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
     stay = rows.select("_key", who.alias("who")).join(groups, F.col("_key") == F.col("text_key")).groupBy("root").agg(F.min("who").alias("who")).select("who.*")
-    kept = rows.join(stay, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    # A text has one group, and a group one survivor, so what agrees in text here agrees in doc_id too.
-    order = Window.partitionBy("_key").orderBy(_rest(rows))
+    kept = rows.join(stay, F.col("_key") == F.col("key"))
+    # A text has one group, and a group one survivor, so the rows of a survivor's text that have its doc_id agree in all else that counts.
+    order = Window.partitionBy("_key").orderBy(~F.col("doc_id").eqNullSafe(F.col("id")), _rest(rows))
     return back(kept.withColumn("_row", F.row_number().over(order)).filter("_row = 1"))
 
 

@@ -97,8 +97,8 @@ def duplicate_lines(text: Column) -> Column:
     return let(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""), lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def facts(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` and one struct ``f`` of counts and histograms, one pass over the texts."""
+def facts(docs: DataFrame, carry: list[str], only: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` and one struct ``f`` of counts and histograms (those in ``only``), one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
 
     def all_of(w: Column) -> Column:
@@ -111,7 +111,7 @@ def facts(docs: DataFrame, carry: list[str]) -> DataFrame:
             "classes": classes(text),
             "common": common(w, F.col("lang")),
         }
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
+        return F.struct(*[c.alias(k) for k, c in fields.items() if only is None or k in only])
 
     return docs.select(*[F.col(f"`{c}`") for c in carry], let(words(text), all_of).alias("f"))
 
@@ -123,7 +123,12 @@ def references(rows: DataFrame, min_words: int = 50) -> DataFrame:
     return base.groupBy("q_lang").agg(mean("c", len(CLASSES)).alias("q_classes"), mean("m", 17).alias("q_common"))
 
 
-def judge(docs: DataFrame, min_words: int = 50, class_limit: tuple[float, float] = (0.18, 0.8), word_limit: tuple[float, float] = (0.1, 1.6), carry: list[str] | None = None) -> DataFrame:
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``f`` is worked out once a row: Spark moves no filter on its fields below what depends on the partition."""
+    return rows.withColumn("f", F.when(F.spark_partition_id() >= 0, F.col("f")))
+
+
+def judge(docs: DataFrame, min_words: int = 50, class_limit: tuple[float, float] = (0.18, 0.8), word_limit: tuple[float, float] = (0.1, 1.6), carry: list[str] | None = None, settled: bool = True) -> DataFrame:
     """``docs`` (or its columns ``carry``) with one struct column ``quality`` more.
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
@@ -131,12 +136,17 @@ def judge(docs: DataFrame, min_words: int = 50, class_limit: tuple[float, float]
     from its reference. Null and empty texts have no words and fail the base rules; a language that has
     no reference, null too, is one of its own, with no common words. Rows are judged one by one, so repeated
     rows and extra columns pass through unchanged (one named ``quality`` is replaced). An empty table gives
-    an empty result. The texts are read once: their facts are settled before references are taken.
+    an empty result. The texts are read once: their facts are settled, with the columns ``carry``, before references are
+    taken. Not ``settled``, nothing is written, and the texts are read twice, for what references need first.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "quality"]
     names = [f"c{i}" for i in range(len(carry))]  # so that no name of the input clashes
-    rows = settle(facts(docs, carry).toDF(*names, "f"), "facts")
-    refs = F.broadcast(references(rows, min_words))  # at most one row for each of LANGUAGES
+    rows = facts(docs, carry).toDF(*names, "f")
+    if settled:
+        rows = seen = settle(rows, "facts")
+    else:
+        rows, seen = _once(rows), _once(facts(docs, [], ("n_words", "lang", "classes", "common")))
+    refs = F.broadcast(references(seen, min_words))  # at most one row for each of LANGUAGES
     rows = rows.join(refs, F.col("f.lang") == F.col("q_lang"), "left")
     f = F.col("f")
     fields = {n: f[n] for n in ("n_words", "word_chars")} | {

@@ -15,6 +15,7 @@ are in no other candidate, are never made; this bound is exact and loses no pair
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,11 +30,13 @@ from kindred.llm.rolling import PART, Sums, U, mix, word_hashes, word_parts
 from kindred.llm.simhash import LOWER
 from kindred.llm.store import discard, settle
 
-#: Rows that meet at a variant and are compared pair by pair at once.
+#: Rows of a variant that are looked at pair by pair, to tell whether any are near each other.
 CROWD = 16
+#: Texts that a shingle may be in to be rare: pairs that share it are made from it.
+RARE = 16
 #: Pairs for each text that a step may make of the crowded variants; most of them are the same pairs again.
 PAIRS = 100
-#: Blocks of the first pass, which joins most of what is alike, and of each pass after it.
+#: Blocks of the first pass, which joins most of what is alike, and of each pass after it; variants of FIRST blocks are on disk at a time.
 FIRST, PASS = 4, 11
 LANES = U(0x0101010101010101)
 SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
@@ -165,30 +168,24 @@ def _verify(least: float):
 
 
 def _meet(most: int, crowd: int):
-    """(variant, id, root, check) sorted by variant and id -> pairs (a, b) to verify, and members (variant, id, check) of crowded variants."""
+    """(variant, id, root, check) sorted by variant -> members (variant, id, check) near one of another root, and all of crowded variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = ["a", "b", "variant", "id", "check"]
-
-        def paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 3], kinds)
-
         def members(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*[pa.nulls(rows.shape[1], pa.int64())] * 2, *[pa.array(np.ascontiguousarray(rows[k])) for k in (0, 1, 3)]], kinds)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[k])) for k in (0, 1, 3)], ["variant", "id", "check"])
 
-        def close(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            v, i, r, c = rows
-            dense = np.zeros(len(v), bool)
+        def close(rows: np.ndarray) -> pa.RecordBatch:
+            v, _, r, c = rows
+            stay = np.zeros(len(v), bool)
             if len(v) > crowd:
                 at = np.flatnonzero(v[crowd:] == v[:-crowd])
-                dense = np.isin(v, np.unique(v[at]))
+                stay = np.isin(v, np.unique(v[at]))
+            dense = stay.copy()
             for off in range(1, min(crowd, len(v) - 1) + 1):
                 same = np.flatnonzero((v[off:] == v[:-off]) & (r[off:] != r[:-off]) & ~dense[off:])
                 near = same[np.bitwise_count((c[same] ^ c[same + off]).view(np.uint64)) <= most]
-                if len(near):
-                    yield paired(i[near], i[near + off])
-            if dense.any():
-                yield members(rows[:, dense])
+                stay[near] = stay[near + off] = True
+            return members(rows[:, stay])
 
         held, going = np.empty((4, 0), np.int64), None
         for b in batches:
@@ -206,11 +203,40 @@ def _meet(most: int, crowd: int):
                 going = None
             whole = rows[0] != last
             held = rows[:, ~whole]
-            yield from close(rows[:, whole])
+            yield close(rows[:, whole])
             if held.shape[1] > crowd:
                 yield members(held)
                 held, going = np.empty((4, 0), np.int64), last
-        yield from close(held)
+        yield close(held)
+
+    return run
+
+
+def _rare(most: int):
+    """(h, id) sorted by h -> (id, h, 0) for each shingle of 2 to ``most`` texts; (id, null, n) for n shingles that no other text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(h: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            n = np.diff(np.append(np.flatnonzero(first), len(h)))
+            n = np.repeat(n, n)
+            some = (n > 1) & (n <= most)
+            alone, times = np.unique(i[n == 1], return_counts=True)
+            ids = pa.array(np.concatenate([i[some], alone]))
+            hashes = pa.concat_arrays([pa.array(h[some]), pa.nulls(len(alone), pa.int64())])
+            return pa.RecordBatch.from_arrays([ids, hashes, pa.array(np.concatenate([np.zeros(int(some.sum()), np.int64), times]))], ["id", "h", "n"])
+
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 2
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, i = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(held))
+            whole = int(np.searchsorted(h, h[-1]))
+            # Of a shingle that goes on no more is held than tells that it is not rare.
+            held = [h[whole:][: most + 1], i[whole:][: most + 1]]
+            yield told(h[:whole], i[:whole])
+        yield told(*held)
 
     return run
 
@@ -229,6 +255,15 @@ def _variants(nodes: DataFrame, plan: Plan, blocks: range) -> DataFrame:
     return blocked.select("v", "id", "root", "check", F.explode("flips").alias("flip")).select(F.col("v").bitwiseXOR(F.col("flip")).alias("variant"), "id", "root", "check")
 
 
+def _likely(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``some``, and one in 16 or so of the others: what needn't be shuffled stays where it is."""
+    slot = F.pmod(F.xxhash64(key), F.lit(16 * max(1, some.count())))
+    bucket, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    marks = F.broadcast(some.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_marks")))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(marks, bucket == F.col("_bucket")).filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall: float = 0.99) -> DataFrame:
     """(text_key, root): one row for each different text of ``docs`` (column text), root equal for texts of one component.
 
@@ -246,20 +281,36 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
     roots = None
 
     def facts(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, shingles) and (id, size, lone) of the texts ``ids``; lone shingles are in no other text of ``ids``."""
-        keys = nodes.join(ids, "id").select("id", "key")
-        texts = keyed.join(keys, "key").groupBy("id").agg(F.first("text").alias("text"))
+        """(id, shingles) and (id, size, rare, core, first) of the texts ``ids``.
+
+        Shingles in one of these texts, then those in up to RARE, then all others, each kind in order of its hashes: the
+        prefixes of two similar texts in that order have one in common. ``first`` are the shingles of a text's
+        prefix that a few others have; its prefix has others too only in a ``core`` text.
+        """
+        keys = settle(nodes.join(ids, "id").select("id", "key"), "keys")
+        made.append(keys)
+        texts = _likely(keyed, keys, "key").join(keys, "key").groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
         sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
-        alone = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1")
-        alone = alone.groupBy("id").agg(F.count("*").alias("lone"))
-        sized = sets.select("id", F.size("shingles").alias("size")).join(alone, "id", "left")
-        return sets, settle(sized.select("id", "size", F.coalesce("lone", F.lit(0)).alias("lone")), "sizes")
+        each = sets.select(F.explode("shingles").alias("h"), "id").repartition("h").sortWithinPartitions("h")
+        told = each.mapInArrow(_rare(RARE), "id long, h long, n long").groupBy("id").agg(F.sum("n").alias("lone"), F.collect_list("h").alias("few"))
+        sized = sets.select("id", F.size("shingles").alias("size")).join(told, "id", "left")
+        lone, few = F.coalesce("lone", F.lit(0)), F.coalesce("few", F.array().cast("array<long>"))
+        prefix = F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1
+        rare = lone + F.size(few)
+        first = F.slice(F.sort_array(few), 1, F.greatest(prefix - lone, F.lit(0)).cast("int"))
+        return sets, settle(sized.select("id", "size", rare.alias("rare"), (rare < prefix).alias("core"), first.alias("first")), "sizes")
 
     def fit(a: str, b: str) -> Column:
-        """Whether two texts can be similar: they share no lone shingle, so at most the others of either."""
-        most = F.least(F.col(f"size{a}") - F.col(f"lone{a}"), F.col(f"size{b}") - F.col(f"lone{b}"))
+        """Whether two texts that share no rare shingle can be similar: they share at most the others of either."""
+        most = F.least(F.col(f"size{a}") - F.col(f"rare{a}"), F.col(f"size{b}") - F.col(f"rare{b}"))
         return (1 + least) * most >= least * (F.col(f"size{a}") + F.col(f"size{b}")) - 1e-6
 
+    def sharing(sizes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different roots that share a rare shingle of their prefixes: at most RARE for each."""
+        rows = rooted(sizes.select("id", F.explode("first").alias("h")))
+        ab = [rows.select("h", F.col("id").alias(e), F.col("root").alias(f"root{e}")) for e in "ab"]
+        return ab[0].join(ab[1], "h").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb"))).select("a", "b")
+
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = settle(pairs.distinct(), "candidates")
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -285,57 +336,63 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, recall:
             return rows.withColumn("root", F.col("id"))
         return rows.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").withColumn("root", F.coalesce("r", "id")).drop("r")
 
+    def meeting(blocks: range) -> DataFrame:
+        """Members (variant, id, check) of the variants where texts of different roots meet, a few blocks on disk at a time."""
+        parts = []
+        for at in range(blocks.start, blocks.stop, FIRST):
+            rows = _variants(rooted(nodes.select("id", "words")), plan, range(at, min(blocks.stop, at + FIRST))).repartition("variant").sortWithinPartitions("variant")
+            parts.append(settle(rows.mapInArrow(_meet(plan.most, CROWD), "variant long, id long, check long"), "met"))
+        made.extend(parts)
+        return functools.reduce(DataFrame.unionByName, parts)
+
     at = 0
     while at < plan.blocks:
+        made: list[DataFrame] = []
         blocks = range(at, min(plan.blocks, at + (PASS if at else FIRST)))
         at = blocks.stop
-        rows = _variants(rooted(nodes.select("id", "words")), plan, blocks).repartition("variant").sortWithinPartitions("variant", "id")
-        met = settle(rows.mapInArrow(_meet(plan.most, CROWD), "a long, b long, variant long, id long, check long"), "met")
-        pairs = met.filter("a is not null").select("a", "b")
-        left = met.filter("variant is not null").select("variant", "id", "check")
-        crowded, pending, here = bool(left.limit(1).count()), bool(pairs.limit(1).count()), None
-        # The first pass joins most copies by stars; after it few pairs are left.
-        starred = roots is not None
-        made = [met]
-        if crowded:
-            # Variants whose members are all in one component are done.
-            open_ = rooted(left).groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-            left = settle(left.join(open_.select("variant"), "variant"), "open")
-            made.append(left)
-        if crowded or pending:
-            ids = left.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            sets, sizes = facts(ids)
+        left = meeting(blocks)
+        # Variants whose members are all in one component are done.
+        open_ = rooted(left).groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        left = settle(left.join(open_.select("variant"), "variant"), "open")
+        discard(*made)
+        made = [left]
+        if left.limit(1).count():
+            sets, sizes = facts(left.select("id").distinct())
             made += [sets, sizes]
-            ends = [sizes.select(F.col("id").alias(e), F.col("size").alias(f"size{e}"), F.col("lone").alias(f"lone{e}")) for e in "ab"]
-            pairs = pairs.distinct().join(ends[0], "a").join(ends[1], "b").filter(fit("a", "b")).select("a", "b")
-            # A text of too many lone shingles is similar to none of the others.
-            left = left.join(sizes, "id").filter((F.col("size") - F.col("lone")) >= least * F.col("size") - 1e-6)
-        while crowded or pending:
-            wanted = 0
-            if crowded:
-                per = rooted(left).groupBy("variant", "root").agg(F.count("*").alias("n"), F.min(F.struct((F.col("lone") / F.greatest("size", F.lit(1))).alias("share"), "id")).alias("least"))
+            # What shares a rare shingle is compared at once; others only where they meet, and only if nearly all that they hold is common.
+            pairs = sharing(sizes)
+            left = left.join(sizes.filter("core").select("id", "size", "rare"), "id")
+            # The first pass joins most copies by stars; after it few pairs are left.
+            pending, here, starred = True, None, roots is not None
+            while True:
+                rows = rooted(left)
+                small = rows.groupBy("variant").agg(F.min("size").alias("small"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+                rows = rows.join(small.select("variant", "small"), "variant").filter((1 + least) * (F.col("size") - F.col("rare")) >= least * (F.col("size") + F.col("small")) - 1e-6).drop("small")
+                per = rows.groupBy("variant", "root").agg(F.count("*").alias("n"), F.min(F.struct((F.col("rare") / F.greatest("size", F.lit(1))).alias("share"), "id")).alias("least"))
                 across = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")
                 open_ = per.groupBy("variant").agg(F.min("least").alias("hub"), F.count("*").alias("roots"), across).filter("roots > 1")
-                before, here = here, settle(rooted(left).join(open_.select("variant", F.col("hub.id").alias("hub"), "across"), "variant"), "crowded")
+                before, here = here, settle(rows.join(open_.select("variant", F.col("hub.id").alias("hub"), "across"), "variant"), "crowded")
                 if before is not None:
                     discard(before)
                 wanted = here.filter("id = hub").agg(F.sum("across")).first()[0] or 0
-                ab = [here.select("variant", *[F.col(c).alias(f"{c}{e}") for c in ("id", "check", "root", "size", "lone", "hub")]) for e in "ab"]
+                ab = [here.select("variant", *[F.col(c).alias(f"{c}{e}") for c in ("id", "check", "root", "size", "rare", "hub")]) for e in "ab"]
                 near = (F.bit_count(F.col("checka").bitwiseXOR(F.col("checkb"))) <= plan.most) & (F.col("roota") != F.col("rootb")) & fit("a", "b")
-                crowded = wanted > limit or not starred
+                crowded = wanted > limit or (wanted > 0 and not starred)
                 if crowded:
-                    # All members are compared to the one of the least share of lone shingles, the middle of its copies.
+                    # All members are compared to the one of the least share of rare shingles, the middle of its copies.
                     found = ab[0].filter("ida = huba").join(ab[1], "variant").filter(near)
-                    left = here.filter("id != hub").select("variant", "id", "check", "size", "lone") if starred else left
+                    left = here.filter("id != hub").select("variant", "id", "check", "size", "rare") if starred else left
                     starred = True
                 else:
                     found = ab[0].join(ab[1], "variant").filter((F.col("ida") < F.col("idb")) & near)
                 found = found.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-            if not wanted and not pending:
-                break
-            join(verified(found.unionByName(pairs) if wanted and pending else found if wanted else pairs, sets))
-            pending = False
-        discard(*made, *[here] * (here is not None))
+                if wanted or pending:
+                    join(verified(found.unionByName(pairs) if wanted and pending else found if wanted else pairs, sets))
+                pending = False
+                if not crowded:
+                    break
+            made.append(here)
+        discard(*made)
     return rooted(nodes.select("key", "id")).select(F.col("key").alias("text_key"), "root")
 
 

@@ -1,13 +1,16 @@
 """Each stage against a plain restatement of what it decides, on what the stage before it kept."""
 
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from kindred.llm import bpe, mixing, secrets
+from kindred.llm import bpe, mixing, quality, secrets
 from kindred.llm.store import settle
+from kindred.settle import shared_dir
 
 from .helpers import COLUMNS, docs, empty, prose
 from .test_quality import base
@@ -87,6 +90,15 @@ def test_rows_that_are_alike_share_what_is_taken(spark):
     assert len(out) == want
 
 
+def test_quality_rules_leave_no_copy_of_the_texts(spark):
+    folder = Path(urlparse(shared_dir(spark)).path)
+    before = set(folder.iterdir())
+    rows = docs(spark, corpus())
+    kept = pipeline.quality_rules(spark, rows, "").collect()
+    assert kept and set(folder.iterdir()) == before
+    assert Counter(map(tuple, kept)) == Counter(tuple(x)[:5] for x in quality.judge(rows).filter("quality.kept").collect())
+
+
 def test_empty(spark):
     at = empty(spark)
     for _, stage in pipeline.STAGES:

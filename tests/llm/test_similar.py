@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from kindred.llm import similar
@@ -92,3 +94,40 @@ def test_texts_that_share_a_doc_id(spark):
     assert kept([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
     assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
     assert kept([(5, a), (5, b), (5, a)]) == sorted([(5, a), (5, b)])
+
+
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    """Near copies of one text, most of them not similar to each other: few pairs are made, and every group is found."""
+    made = []
+
+    def settle(df, name):
+        out = similar_settle(df, name)
+        made.extend([out.count()] * (name == "candidates"))
+        return out
+
+    similar_settle = similar.settle
+    monkeypatch.setattr(similar, "settle", settle)
+    r, text = random.Random(3), prose(77, 150, 5000)
+    data = [(i, changed(text, r.randrange(1, 9), r)) for i in range(400)]
+    got = {x.doc_id for x in pipeline.near_dedup(spark, docs(spark, [(i, t, "en", "s", 1) for i, t in data]), "").collect()}
+    want = brute(data)
+    assert len(want) > 50 and want <= got and len(got - want) <= 4
+    assert sum(made) <= 15 * len(data)
+
+
+def test_shared_rare_shingles():
+    """Shingles of no other text are counted, those of a few are told, whatever batches they come in; others are left out."""
+    rows = sorted([(h, i) for h in range(40) for i in range(h % 6 + 1)] + [(99, i) for i in range(50)])
+    for size in (1, 3, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + size])], ["h", "id"]) for k in range(0, len(rows), size)]
+        out = [x for b in similar._rare(4)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted((h, i) for i, h, _ in out if h is not None) == [(h, i) for h, i in rows if 0 < h % 6 < 4 and h < 40]
+        assert sum(n for i, h, n in out if h is None) == sum(h % 6 == 0 for h in range(40)) and {i for i, h, _ in out if h is None} == {0}
+
+
+def test_rows_that_may_match(spark):
+    rows = spark.range(5000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id")
+    some = rows.filter("id % 9 = 2")
+    got = {x.id for x in similar._likely(rows, some, "key").collect()}
+    assert {i for i in range(5000) if i % 9 == 2} <= got and len(got) < 1500
+    assert similar._likely(rows, some.filter("id < 0"), "key").count() == 0
