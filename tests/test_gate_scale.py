@@ -54,3 +54,12 @@ def test_contents_are_compared_where_lines_are_shared(spark):
     pairs = gate.exceptions(classes, -1, 1700).collect()
     close = [(a, b) for a, b in combinations(data, 2) if gate.diff_length(a[3], b[3]) <= 1700]
     assert len(pairs) == len(close) == 1 and pairs[0].like
+
+
+def test_sizes_are_judged_by_class(spark):
+    """gate_size_pairs: a set comes to its task as its sizes, however many its members and bodies are."""
+    data = [("s", i, 1.0, [f"{i:06d}", "x" * (i % 7)]) for i in range(2000)]
+    got = gate.judge(rows(spark, data), 2, -1).collect()
+    assert [r.mail_hash for r in got] == ["s"] * 7
+    members = [(f"<{i}>", sum(map(len, lines)), "|".join(lines), None) for _, i, _, lines in data[:60]]
+    assert gate.evict(members, 2, -1) == naive_evict([(*m[:3], []) for m in members], 2, -1)
