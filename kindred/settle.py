@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for rows that are small and stand for much work."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

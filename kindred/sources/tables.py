@@ -5,14 +5,16 @@ from __future__ import annotations
 import email.utils
 import os
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import urlparse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.settle import shared_dir
+from kindred.settle import shared_dir, shuffle_tasks
 from kindred.sources import boxes
 
 
@@ -51,21 +53,32 @@ def mails_from_table(
 def boxes_from_table(rows: DataFrame, box_format: str) -> list[str]:
     """Write ``rows`` (box, doc_id, text) as mail boxes in the shared folder, one task a box; returns their paths.
 
-    A box is written beside its place and renamed, so a task that runs again does no harm.
+    A task writes its boxes one after another, mail by mail, in order of doc_id. A box is written beside its
+    place and renamed, so a task that runs again does no harm.
     """
     root = os.path.join(urlparse(shared_dir(rows.sparkSession)).path, f"boxes-{uuid.uuid4().hex}")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(root, exist_ok=True)
-        path, draft = os.path.join(root, pdf.box.iloc[0]), os.path.join(root, f".{uuid.uuid4().hex}")
-        box = boxes.open_box(draft, box_format, create=True)
-        for i, text in zip(pdf.doc_id, pdf.text):
-            head = f"Message-ID: <{i}@table>\nFrom: table@list.org\nSubject: document {i}\nDate: {email.utils.formatdate(1_000_000_000 + 3600 * int(i))}\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\n\n"
-            box.add((head + text).encode())
-        box.flush()
-        box.close()
-        if not os.path.exists(path):
-            os.rename(draft, path)
-        return pd.DataFrame({"path": [path]})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, mails in groupby(_mails(batches), key=itemgetter(0)):
+            os.makedirs(root, exist_ok=True)
+            path, draft = os.path.join(root, name), os.path.join(root, f".{uuid.uuid4().hex}")
+            box = boxes.open_box(draft, box_format, create=True)
+            for _, i, text in mails:
+                head = f"Message-ID: <{i}@table>\nFrom: table@list.org\nSubject: document {i}\nDate: {email.utils.formatdate(1_000_000_000 + 3600 * int(i))}\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\n\n"
+                box.add((head + text).encode())
+            box.flush()
+            box.close()
+            if not os.path.exists(path):
+                os.rename(draft, path)
+            yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    return [r.path for r in rows.groupBy("box").applyInPandas(write, "path string").collect()]  # one row a box
+    # A number of tasks that is given isn't made smaller by the little that the rows may weigh.
+    dealt = rows.select("box", "doc_id", "text").repartition(shuffle_tasks(rows.sparkSession), "box").sortWithinPartitions("box", "doc_id")
+    return [r.path for r in dealt.mapInArrow(write, "path string").collect()]  # one row a box
+
+
+def _mails(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches, one in Python at a time."""
+    for batch in batches:
+        for row in zip(*batch.columns):
+            yield tuple(x.as_py() for x in row)

@@ -2,10 +2,11 @@
 
 import os
 
+import pandas as pd
 import pytest
 
-from kindred.sources import boxes
-from tests.mails import make
+from kindred.sources import boxes, mail
+from tests.mails import box, make
 
 
 def test_mh_box_is_listed_once_for_all_adds(tmp_path, monkeypatch):
@@ -24,3 +25,16 @@ def test_mh_box_is_listed_once_for_all_adds(tmp_path, monkeypatch):
         b.add(object())
     assert sorted(b.keys()) == [*range(1, 53)] and b.get_message(52)["Message-Id"] == "<51@x>"
     assert boxes.open_box(tmp_path / "mh", "mh").add(make()) == 53
+
+
+@pytest.mark.parametrize("kind", ["mbox"])
+def test_long_mails_go_on_in_small_batches(tmp_path, kind):
+    """scan_mbox, scan_mmdf: parsed mails don't wait for the whole batch of their listing."""
+    mails = [make("w" * 500_000 + f"\n{i}", message_id=f"<{i}@x>") for i in range(20)]
+    path = box(tmp_path / "b", kind, mails)
+    listing = pd.DataFrame([*boxes.listing(path, kind)], columns=mail.LISTED)
+    out = [*mail.parsed(iter([listing, listing.head(0), listing.head(1)]))]
+    assert [len(x) for x in out] == [8, 8, 4, 1]
+    whole = pd.concat(out[:3], ignore_index=True)
+    assert whole.mail_id.tolist() == listing.mail_id.tolist() and whole.parse_error.isna().all()
+    assert sorted(int(lines[-1]) for lines in whole.body_lines) == [*range(20)]
