@@ -42,7 +42,7 @@ def test_rows_to_write_come_one_by_one():
     assert [*rows][-1] == ("b", 2, "y") and asked == [0, 1, 2]
 
 
-@pytest.mark.parametrize("kind", ["mbox", "babyl", "maildir", "mh", "eml"])
+@pytest.mark.parametrize("kind", ["mbox", "mmdf", "babyl", "maildir", "mh", "eml"])
 def test_long_mails_go_on_in_small_batches(tmp_path, kind):
     """scan_mbox, scan_mmdf: parsed mails don't wait for the whole batch of their listing."""
     mails = [make("w" * 500_000 + f"\n{i}", message_id=f"<{i}@x>") for i in range(20)]
