@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,12 @@ def test_sizes_are_judged_by_class(spark):
     assert [r.mail_hash for r in got] == ["s"] * 7
     members = [(f"<{i}>", sum(map(len, lines)), "|".join(lines), None) for _, i, _, lines in data[:60]]
     assert gate.evict(members, 2, -1) == naive_evict([(*m[:3], []) for m in members], 2, -1)
+
+
+def test_classes_go_as_a_whole_in_linear_memory():
+    """gate_evict_outliers: 20,000 different sizes, where pairs would be 200 million."""
+    n = 20_000
+    size = np.random.default_rng(1).permutation(n)
+    none = np.array([], np.int64)
+    out = gate.outcasts(size, np.zeros(n, np.int64), np.ones(n, np.int64), none, none, none.astype(bool), 8, -1)
+    assert size[~out].max() - size[~out].min() <= 8 and (~out).sum() == 9
