@@ -73,3 +73,10 @@ def test_classes_go_as_a_whole_in_linear_memory():
     none = np.array([], np.int64)
     out = gate.outcasts(size, np.zeros(n, np.int64), np.ones(n, np.int64), none, none, none.astype(bool), 8, -1)
     assert size[~out].max() - size[~out].min() <= 8 and (~out).sum() == 9
+
+
+def test_flagship_gate_keeps_every_mail(spark):
+    """flagship_dedup: a name that two bodies share doesn't double its rows."""
+    df = rows(spark, [("s", i, 1.0, ["x" * (40 * i)]) for i in range(3)]).withColumn("repr", F.lit("<same>"))
+    c = Config(strategies=("select-newest", "select-biggest", "select-one"), size_threshold=32, content_threshold=-1)
+    assert cascade.decide(df, c).count() == 3
